@@ -62,11 +62,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes:
     counts = back.groupBy("_s_shard", "_s_bucket").agg(F.count("*").alias("_s_n"))
     before = F.sum("_s_n").over(Window.partitionBy("_s_shard").orderBy("_s_bucket")) - F.col("_s_n")
     counts = counts.select("_s_shard", "_s_bucket", before.alias("_s_before"))
+    # before the join, so that a caller who needs no text moves none
+    back = back.withColumns({"_s_size": (F.octet_length(text_of()) + 1).cast("long"), "_s_crc": F.crc32(text_of().cast("binary")).cast("long")})
     out = back.join(counts, ["_s_shard", "_s_bucket"])
     return out.select(
         *[c for c in docs.columns],
-        (F.octet_length(text_of()) + 1).cast("long").alias("size"),
-        F.crc32(text_of().cast("binary")).cast("long").alias("text_crc32"),
+        F.col("_s_size").alias("size"),
+        F.col("_s_crc").alias("text_crc32"),
         F.lit("key").alias("law"),
         F.col("_s_shard").alias("shard"),
         (F.col("_s_before") + F.col("_s_place")).cast("long").alias("slot"),
