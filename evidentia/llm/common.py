@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -65,6 +66,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more, before more are made."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, whatever task it serves."""
     module = sys.modules.setdefault("_evidentia_worker", types.ModuleType("_evidentia_worker"))

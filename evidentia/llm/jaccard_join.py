@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import spread, text_of, written
+from evidentia.llm.common import discard, release, spread, text_of, written
 from evidentia.llm.components import connected_components
 
 WORDS, GROUPS, LEAF = 5, 32, 64
@@ -37,6 +37,8 @@ WORDS, GROUPS, LEAF = 5, 32, 64
 SAMPLE_DOCS, COMMON, COMMON_MOST = 20_000, 20, 100_000
 #: A class is sketched once a task while the task remembers so many.
 REMEMBERED = 1 << 20
+#: Bits of the filter that spares texts without candidates the shuffle.
+FILTER_BITS = 1 << 24
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -71,6 +73,16 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((_mix(s) >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype("<i4")
 
 
+def packed(p: np.ndarray) -> bytes:
+    """The low bytes of all counts, then the next ones: the zeros lie together and compress."""
+    return np.ascontiguousarray(p.view(np.uint8).reshape(GROUPS, 4).T).tobytes()
+
+
+def unpacked(raw: list[bytes]) -> np.ndarray:
+    planes = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 4, GROUPS)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i4").reshape(-1, GROUPS)
+
+
 def signature(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles, common ones last."""
     p = len(s) - (4 * len(s) + 4) // 5 + 1
@@ -103,7 +115,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sets = [shingles(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "point": [point(s).tobytes() for s in sets], "sig": [signature(s, common).tobytes() for s in sets]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "point": [packed(point(s)) for s in sets], "sig": [signature(s, common).tobytes() for s in sets]})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
     out = rows.mapInPandas(run, "doc_id string, n long, fp long, point binary, sig binary")
@@ -210,7 +222,7 @@ def candidate_pairs(members: DataFrame, all_pairs: bool) -> DataFrame:
             ends = np.append(starts[1:], len(h))
             out: list[tuple[np.ndarray, np.ndarray]] = []
             two = starts[(ends - starts) == 2]
-            pts = np.frombuffer(b"".join(f["point"]), "<i4").reshape(-1, GROUPS)
+            pts = unpacked(list(f["point"]))
             if len(two):
                 overlap = np.minimum(pts[two], pts[two + 1]).sum(axis=1)
                 ok = (9 * overlap >= 4 * (n[two] + n[two + 1])) & (label[two] != label[two + 1])
@@ -240,8 +252,27 @@ def candidate_pairs(members: DataFrame, all_pairs: bool) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
+def _among(ids: DataFrame):
+    """A test whether a doc_id may be among ids: FILTER_BITS bits by hash, so what the driver and tasks get is bounded; all of ids pass."""
+    x = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+    parts = ids.groupBy(F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits")).collect()
+    size = 4096
+    bits = np.zeros(FILTER_BITS // 8 + size, np.uint8)
+    for r in parts:
+        bits[(r["k"] - 1) * size : r["k"] * size] = np.frombuffer(r["bits"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        a = at.to_numpy(np.int64)
+        return pd.Series((shared.value[a >> 3] >> (a & 7).astype(np.uint8) & 1).astype(bool))
+
+    return test(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+
+
 def shingle_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """fp and set of the needed classes (rep, fp), from the representatives' texts."""
+    needed = written(needed, "needed")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -253,7 +284,7 @@ def shingle_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                     sets.append(s.view(np.int64))
             yield pd.DataFrame({"fp": np.array(fps, np.int64), "s": sets})
 
-    own = docs.select("doc_id", text_of().alias("text"))
+    own = docs.select("doc_id", text_of().alias("text")).where(_among(needed))
     rows = own.join(needed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("fp", "text")
     return written(rows.mapInPandas(run, "fp long, s array<long>"), "sets")
 
@@ -266,22 +297,37 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.where(100 * i >= 80 * (F.size("sa") + F.size("sb") - i)).select("a", "b")
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sets = shingle_sets(docs, needed.join(classes, "fp").select("rep", "fp"))
+    out = written(verified(pairs, sets), "links")
+    discard(sets)
+    release(docs.sparkSession)
+    return out
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    sketched = sketch(docs)
-    classes = sketched.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"))
+    whole = sketch(docs)
+    classes = whole.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"))
     classes = written(classes, "classes")
-    shared = blocks(sketched)
+    sketched = written(whole.select("doc_id", "n", "fp"), "rows")
+    shared = blocks(whole)
+    discard(whole)
     members = written(shared.join(classes, "fp").select("h", "fp", "n", "point"), "members")
-    sets = shingle_sets(docs, shared.select("fp").distinct().join(classes, "fp").select("rep", "fp"))
+    discard(shared)
+    release(docs.sparkSession)
     first = written(candidate_pairs(members.withColumn("label", F.col("fp")), False), "pairs")
-    links = written(verified(first, sets), "links")
+    links = _verified(docs, first, classes)
     labels = connected_components(links)
     marked = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    rest = candidate_pairs(marked, True).join(first, ["a", "b"], "left_anti")
-    more = written(verified(rest, sets), "links")
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
+    rest = written(candidate_pairs(marked, True).join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(members)
+    release(docs.sparkSession)
+    if rest.limit(1).count():
+        more = _verified(docs, rest, classes)
+        if more.limit(1).count():
+            labels = connected_components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("fp", "component_id")
