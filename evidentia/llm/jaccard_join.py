@@ -83,6 +83,22 @@ def unpacked(raw: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i4").reshape(-1, GROUPS)
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts by as many groups (a power of two) as give about four shingles each, in bytes; 255 stands for more, too."""
+    bits = max(5, int(len(s) // 4).bit_length())
+    counts = np.bincount((_mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """At least the overlap of two sets, from their fine points; the larger one's neighbouring groups are added up."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if 255 in x or 255 in y:
+        return 1 << 40
+    x, y = (v.reshape(min(len(x), len(y)), -1).sum(axis=1) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def signature(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles, common ones last."""
     p = len(s) - (4 * len(s) + 4) // 5 + 1
@@ -115,10 +131,10 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sets = [shingles(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "point": [packed(point(s)) for s in sets], "sig": [signature(s, common).tobytes() for s in sets]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "point": [packed(point(s)) for s in sets], "fine": [fine_point(s) for s in sets], "sig": [signature(s, common).tobytes() for s in sets]})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, n long, fp long, point binary, sig binary")
+    out = rows.mapInPandas(run, "doc_id string, n long, fp long, point binary, fine binary, sig binary")
     return written(out.withColumn("doc_id", F.col("doc_id").cast("long")), "sketch")
 
 
@@ -289,6 +305,19 @@ def shingle_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return written(rows.mapInPandas(run, "fp long, s array<long>"), "sets")
 
 
+def refined(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose fine points allow a similarity of 0.8."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ok = [9 * fine_bound(x, y) >= 4 * t for x, y, t in zip(f["x"], f["y"], f["t"].tolist())]
+            yield f.loc[np.array(ok, bool), ["a", "b"]]
+
+    of = lambda k, p: classes.select(F.col("fp").alias(k), F.col("fine").alias(p), F.col("n").alias("n" + k))
+    rows = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("t"))
+    return written(rows.mapInPandas(run, "a long, b long"), "refined")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets' similarity is 0.8 or more."""
     one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
@@ -298,6 +327,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    pairs = refined(pairs, classes)
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     sets = shingle_sets(docs, needed.join(classes, "fp").select("rep", "fp"))
     out = written(verified(pairs, sets), "links")
@@ -309,7 +339,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     whole = sketch(docs)
-    classes = whole.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"))
+    classes = whole.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
     classes = written(classes, "classes")
     sketched = written(whole.select("doc_id", "n", "fp"), "rows")
     shared = blocks(whole)

@@ -89,5 +89,6 @@ def test_bound_never_loses():
         b = np.unique(np.concatenate([a[rnd.random(len(a)) < 0.9], rnd.integers(0, 400, 3).astype(np.uint64)]))
         i = len(np.intersect1d(a, b))
         assert np.minimum(jaccard_join.point(a), jaccard_join.point(b)).sum() >= i
+        assert jaccard_join.fine_bound(jaccard_join.fine_point(a), jaccard_join.fine_point(b)) >= i
         if 100 * i >= 80 * (len(a) + len(b) - i):
             assert len(np.intersect1d(jaccard_join.signature(a, b[:5]), jaccard_join.signature(b, b[:5])))
