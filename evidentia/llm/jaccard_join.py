@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import discard, release, spread, text_of, written
 from evidentia.llm.components import connected_components
 
-WORDS, GROUPS, LEAF = 5, 32, 64
+WORDS, GROUPS, LEAF = 5, 64, 64
 #: Documents of the sample that finds common shingles, how many of them must hold one, and the longest list of such shingles.
-SAMPLE_DOCS, COMMON, COMMON_MOST = 20_000, 20, 100_000
+SAMPLE_DOCS, COMMON, COMMON_MOST = 20_000, 3, 200_000
 #: A class is sketched once a task while the task remembers so many.
 REMEMBERED = 1 << 20
+#: Rounds in which each point meets one partner, before all pairs between components.
+STARS = 3
 #: Bits of the filter that spares texts without candidates the shuffle.
 FILTER_BITS = 1 << 24
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -70,7 +72,7 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((_mix(s) >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype("<i4")
+    return np.bincount((_mix(s) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<i4")
 
 
 def packed(p: np.ndarray) -> bytes:
@@ -85,7 +87,7 @@ def unpacked(raw: list[bytes]) -> np.ndarray:
 
 def fine_point(s: np.ndarray) -> bytes:
     """Counts by as many groups (a power of two) as give about four shingles each, in bytes; 255 stands for more, too."""
-    bits = max(5, int(len(s) // 4).bit_length())
+    bits = max(6, int(len(s) // 4).bit_length())
     counts = np.bincount((_mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -228,8 +230,11 @@ class RTree:
                     yield own[x], other[y]
 
 
-def candidate_pairs(members: DataFrame, all_pairs: bool) -> DataFrame:
-    """Distinct (a, b), a < b, from the trees of members (h, fp, n, point, label): for each point its least partner, or all pairs; only across labels."""
+def candidate_pairs(members: DataFrame, choice: int | None) -> DataFrame:
+    """Distinct (a, b), a < b, from the trees of members (h, fp, n, point, label), only across labels.
+
+    choice None: all pairs; else for each point one partner over all its trees, the least by an order that choice gives."""
+    salt = np.uint64(choice or 0)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, "h"):
@@ -247,25 +252,36 @@ def candidate_pairs(members: DataFrame, all_pairs: bool) -> DataFrame:
                 if e - s < 3 or (label[s:e] == label[s]).all():
                     continue
                 mine, own = fp[s:e], label[s:e]
-                partner = np.full(e - s, np.iinfo(np.int64).max)
+                # places by rank, so that the least rank is the partner
+                rank = np.argsort(np.argsort(_order(mine, salt), kind="stable"))
+                partner = np.full(e - s, e - s)
                 for x, y in RTree(pts[s:e], n[s:e]).candidates():
                     cross = own[x] != own[y]
                     x, y = x[cross], y[cross]
-                    if all_pairs:
+                    if choice is None:
                         out.append((mine[x], mine[y]))
                     else:
-                        np.minimum.at(partner, x, mine[y])
-                        np.minimum.at(partner, y, mine[x])
-                if not all_pairs:
-                    some = partner != np.iinfo(np.int64).max
-                    out.append((mine[some], partner[some]))
+                        np.minimum.at(partner, x, rank[y])
+                        np.minimum.at(partner, y, rank[x])
+                if choice is not None:
+                    some = partner < e - s
+                    out.append((mine[some], mine[np.argsort(rank)][partner[some]]))
             if out:
                 a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                if choice is None:
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "o": _order(pairs[:, 1], salt)})
 
     rows = members.repartition(spread(members.sparkSession), "h").sortWithinPartitions("h", "fp")
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    pairs = rows.mapInPandas(run, "a long, b long, o long")
+    if choice is not None:
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("o", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+    return pairs.select("a", "b").distinct()
+
+
+def _order(fps: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return fps if not salt else _mix(fps.view(np.uint64) + salt).view(np.int64)
 
 
 def _among(ids: DataFrame):
@@ -347,17 +363,23 @@ def join_components(docs: DataFrame) -> DataFrame:
     members = written(shared.join(classes, "fp").select("h", "fp", "n", "point"), "members")
     discard(shared)
     release(docs.sparkSession)
-    first = written(candidate_pairs(members.withColumn("label", F.col("fp")), False), "pairs")
-    links = _verified(docs, first, classes)
-    labels = connected_components(links)
-    marked = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    rest = written(candidate_pairs(marked, True).join(first, ["a", "b"], "left_anti"), "pairs")
-    discard(members)
-    release(docs.sparkSession)
-    if rest.limit(1).count():
-        more = _verified(docs, rest, classes)
+    labels = links = None
+    for choice in [*range(STARS), None]:
+        label = F.col("fp")
+        marked = members
+        if labels is not None:
+            marked, label = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left"), F.coalesce("label", "fp")
+        pairs = written(candidate_pairs(marked.withColumn("label", label), choice), "pairs")
+        release(docs.sparkSession)
+        if not pairs.limit(1).count():
+            break
+        more = _verified(docs, pairs, classes)
         if more.limit(1).count():
-            labels = connected_components(links.unionByName(more))
+            links = more if links is None else links.unionByName(more)
+            labels = connected_components(links)
+    discard(members)
+    if labels is None:
+        labels = classes.select(F.col("fp").alias("node"), F.col("fp").alias("label")).limit(0)
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("fp", "component_id")

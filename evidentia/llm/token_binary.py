@@ -27,8 +27,8 @@ from evidentia.llm.files import read_whole, write_whole
 
 MAGIC = b"EVTOK1\0\0"
 BLOCK_TOKENS = 1 << 21
-#: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+#: Pieces that a worker remembers before it starts anew; those of the time before stay at hand.
+CACHE_PIECES = 300_000
 #: Lengths of the four tokens of each control byte, and how many bytes they take.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -36,8 +36,8 @@ LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(25
 class PieceEncoder:
     """ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    A byte-level BPE never merges over the borders of its pre-tokens, so each distinct pre-token is encoded by the
-    library once.  Texts with characters whose class may differ between regex engines, or with a special token's
+    A byte-level BPE never merges over the borders of its pre-tokens, so each distinct pre-token is encoded once.  Where
+    the file's ids rise with its merges, a rank-based encoder of the same vocabulary takes the pre-tokens, else the library.  Texts with characters whose class may differ between regex engines, or with a special token's
     string, go to the library whole."""
 
     #: Latin, Greek and Cyrillic letters, marks, general punctuation and currency, without U+001C..1F and U+0085.
@@ -54,6 +54,35 @@ class PieceEncoder:
         odd = [self.plain, *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]
         self.odd = re.compile("|".join(odd))
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.ranked = self._ranked(path, pattern)
+
+    @staticmethod
+    def _ranked(path: str, pattern: str):
+        import json
+
+        import tiktoken
+
+        from evidentia.llm.bpe import byte_characters
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        made = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        vocab, first = model["vocab"], len(model["vocab"]) - len(made)
+        if any(vocab.get(m.replace(" ", "")) != first + i for i, m in enumerate(made)):
+            return None
+        back = {c: i for i, c in enumerate(byte_characters())}
+        ranks = {bytes([back[c] for c in s]): i for s, i in vocab.items()}
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def cold(self, pieces: list[str]) -> None:
+        """Encode pieces that are in neither memory."""
+        if self.ranked:
+            for p in pieces:
+                self.known[p] = np.array(self.ranked.encode_ordinary(p), "<u4").tobytes()
+        else:
+            for p, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
@@ -64,10 +93,16 @@ class PieceEncoder:
             return b"".join([known[p] for p in found])
         except KeyError:
             if len(known) > CACHE_PIECES:
-                known.clear()
-            new = [p for p in dict.fromkeys(found) if p not in known]
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+                self.old, self.known = known, {}
+                known = self.known
+            new = []
+            for p in dict.fromkeys(found):
+                if p not in known:
+                    if p in self.old:
+                        known[p] = self.old[p]
+                    else:
+                        new.append(p)
+            self.cold(new)
             return b"".join([known[p] for p in found])
 
 
