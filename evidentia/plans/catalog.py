@@ -2,5 +2,178 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.functions import dates, scoring
+from evidentia.functions import text as t
+from evidentia.operators import jobs, keys, rules
+
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SEARCH = "trim(regexp_replace(regexp_replace(lower(strip_accents(trim(regexp_replace(translate({x}, '“”‘’`´–—[]{{}}|¦•·º°', '\"\"''''''''--1111II..oo'), '\\s+', ' ', 'g')))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_SEARCH.format(x='text')}) AS searchable_md5, len({_SEARCH.format(x='text')}) AS n FROM documents")
+def text_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise repair, accents, case and punctuation."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", t.searchable(F.col("text")).alias("s"))
+    return docs.select("doc_id", F.md5(F.col("s").cast("binary")).alias("searchable_md5"), F.length("s").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^0-9]+', '', 'g') AS digits, coalesce(nullif(regexp_replace(text, '[^0-9]+', '', 'g'), ''), 'none') AS key_or_none FROM documents")
+def text_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t.digits_only(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", d.alias("digits"), F.coalesce(F.nullif(d, F.lit("")), F.lit("none")).alias("key_or_none"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines, len(regexp_replace(text, '\\s', '', 'g')) AS chars, left(text, 320) AS preview FROM documents")
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = t.statistics(F.col("text"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    return rows.select("doc_id", F.col("s.lines").cast("long").alias("lines"), F.col("s.chars").cast("long").alias("chars"), F.col("s.preview").alias("preview"))
+
+
+@query("SELECT p_partkey, round(1 - levenshtein(lower(p_brand), lower(p_type)) / greatest(len(p_brand), len(p_type))::DOUBLE, 4) AS similarity FROM part WHERE regexp_full_match(lower(p_brand || p_type), '[a-z0-9]*')")
+def fuzzy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").where(F.lower(F.concat("p_brand", "p_type")).rlike("^[a-z0-9]*$"))
+    return part.select("p_partkey", scoring.similarity(F.col("p_brand"), F.col("p_type")).alias("similarity"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence made from orders: their key in a text, every fifth key with its fourth and fifth digit swapped."""
+    k = F.lpad(F.col("o_orderkey").cast("string"), 7, "0")
+    swapped = F.concat(F.substring(k, 1, 3), F.substring(k, 5, 1), F.substring(k, 4, 1), F.substring(k, 6, 2))
+    k = F.when(F.col("o_orderkey") % 5 == 0, swapped).otherwise(k)
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.concat(F.lit("NF-e "), k, F.lit(" SERIE 1")).alias("text"), F.col("o_orderpriority").alias("source"), (F.col("o_totalprice") / 1000000).alias("confidence"))
+    return rows
+
+
+def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 7, "0").alias("key"), F.col("o_orderstatus").alias("status"), F.lit(True).alias("found"))
+
+
+_EVIDENCE = """e AS (SELECT o_orderkey AS doc, 'NF-e ' || CASE WHEN o_orderkey % 5 = 0 THEN k[1:3] || k[5] || k[4] || k[6:7] ELSE k END || ' SERIE 1' AS text,
+  o_orderpriority AS source, o_totalprice / 1000000 AS confidence, o_orderstatus FROM (SELECT *, lpad(o_orderkey::VARCHAR, 7, '0') AS k FROM orders)),
+c AS (SELECT doc, regexp_extract(text, '([0-9]{7})', 1) AS key, source, confidence FROM e),
+ref AS (SELECT lpad(o_orderkey::VARCHAR, 7, '0') AS key, o_orderstatus AS status FROM orders)"""
+
+
+@query(f"WITH {_EVIDENCE} SELECT c.doc, c.key, ref.status, ref.key IS NOT NULL AS found, CASE WHEN ref.key IS NULL THEN 'invoice_not_found' ELSE 'invoice_found' END AS reason FROM c LEFT JOIN ref ON ref.key = c.key")
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from text, looked up in bulk."""
+    found = keys.candidates(_evidence(spark, sf_dir), "doc", "text").select("doc", "key")
+    return keys.lookup(found, _reference(spark, sf_dir)).select("doc", "key", "status", "found", "reason")
+
+
+@query(f"""WITH {_EVIDENCE},
+m AS (SELECT doc, key FROM c WHERE key NOT IN (SELECT key FROM ref)),
+n AS (SELECT DISTINCT doc, CASE WHEN i <= 6 THEN key[1:i - 1] || key[i + 1] || key[i] || key[i + 2:7] ELSE key[1:i - 7] || translate(key[i - 6], '85', '58') || key[i - 5:7] END AS near, key FROM m, range(1, 14) r(i)),
+h AS (SELECT n.doc, n.near FROM n JOIN ref ON ref.key = n.near WHERE n.near <> n.key)
+SELECT doc, min(near) AS rescued FROM h GROUP BY doc HAVING count(*) = 1""")
+def key_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys not found, with exactly one neighbour that is."""
+    found = keys.candidates(_evidence(spark, sf_dir), "doc", "text").select("doc", "key")
+    reference = _reference(spark, sf_dir)
+    return keys.unique_rescue(found.join(reference, "key", "left_anti"), reference, "doc")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS doc, lpad(l_partkey::VARCHAR, 7, '0') AS key, l_discount AS confidence, l_returnflag AS source FROM lineitem),
+g AS (SELECT doc, key, max(confidence) AS confidence, count(*) AS support, count(DISTINCT source) AS sources FROM f GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, sources DESC, support DESC, key) AS rank FROM g""")
+def key_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus over evidence, ranked."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lpad(F.col("l_partkey").cast("string"), 7, "0").alias("key"), F.col("l_discount").alias("confidence"), F.col("l_returnflag").alias("source"))
+    return keys.consensus(rows, "doc")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS i FROM orders) WHERE i = 1")
+def latest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.latest(_table(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.unseen(_table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS status, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS events,
+  array_to_string(list_reverse(list(event_type ORDER BY event_id DESC)[1:40]), ',') AS tail FROM events GROUP BY user_id""")
+def job_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States from events, with the latest 40 of them."""
+    return jobs.fold_events(_table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", "ts").withColumn("tail", F.array_join("tail", ","))
+
+
+@query("SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-02-02 00:00:00' - INTERVAL 72 HOUR")
+def job_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("updated_at"))
+    return jobs.expired(states, "updated_at", "2024-02-02 00:00:00", 72).select("user_id")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 2) AS mean_value, max(value) AS max_value, round(count(*) / sum(count(*)) OVER (), 4) AS rate FROM events GROUP BY event_type")
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.report(_table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'valid' WHEN o_orderstatus = 'P' OR o_totalprice > 150000 THEN 'review' ELSE 'invalid' END AS class,
+  array_to_string(list_filter([CASE WHEN o_totalprice <= 300000 THEN 'low_total' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' END], lambda x: x IS NOT NULL), ',') AS reasons FROM orders""")
+def rule_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes by the first rule that holds, and all reasons."""
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    cls = rules.ladder((price > 300000, "valid"), ((status == "P") | (price > 150000), "review"), default="invalid")
+    why = rules.reasons((price <= 300000, "low_total"), (status == "P", "pending"), (F.startswith("o_orderpriority", F.lit("1")), "urgent"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", cls.alias("class"), F.array_join(why, ",").alias("reasons"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, (1000 * pow(2, (json_extract_string(props, '$.k')::BIGINT % 5)))::BIGINT AS delay_ms FROM events")
+def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _table(spark, sf_dir, "events").select("event_id", k.alias("k"), dates.retry_delay_ms(k % 5 + 1, 500).alias("delay_ms"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%d%m%y') AS a, lpad(o_orderkey::VARCHAR, 6, '0') AS b FROM orders),
+v AS (SELECT *, try_cast('20' || b[5:6] || '-' || b[3:4] || '-' || b[1:2] AS DATE) IS NOT NULL OR try_cast('20' || b[1:2] || '-' || b[3:4] || '-' || b[5:6] AS DATE) IS NOT NULL AS b_date FROM d)
+SELECT o_orderkey, true AS a_date, b_date FROM v""")
+def compact_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which digit runs can be dates."""
+    rows = _table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", dates.is_compact_date(F.date_format("o_orderdate", "ddMMyy")).alias("a_date"), dates.is_compact_date(F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("b_date"))
+
+
+@query("SELECT l_suppkey, count(*) AS n, list_sort(list(l_quantity))[greatest(1, ceil(count(*) * 0.9)::INT)] AS p90 FROM lineitem GROUP BY l_suppkey")
+def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By row numbers, so that no group is held in one array."""
+    from pyspark.sql import Window
+
+    rows = _table(spark, sf_dir, "lineitem")
+    n = F.count("*").over(Window.partitionBy("l_suppkey"))
+    i = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_quantity"))
+    rows = rows.select("l_suppkey", "l_quantity", n.alias("n"), i.alias("i"))
+    return rows.where(F.col("i") == F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.9).cast("double")))).select("l_suppkey", "n", F.col("l_quantity").alias("p90"))
+
+
+@query("SELECT DISTINCT ON (user_id, event_type) event_id, user_id, event_type FROM events ORDER BY user_id, event_type, event_id")
+def alert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("dedupe_key", F.concat_ws(":", "user_id", "event_type"))
+    return keys.deduplicate_open(rows, "dedupe_key", F.col("event_id")).select("event_id", "user_id", "event_type")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup of extracted keys, and rescue of those that aren't found."""
+    return key_lookup(spark, sf_dir).join(key_rescue(spark, sf_dir), "doc", "left")
