@@ -41,20 +41,24 @@ def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFr
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "large": F.octet_length("payload") >= revisit_bytes})
-    marks = rows.where("large").groupBy("digest").agg(F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("u"))).alias("top"), F.count("*").alias("n"))
-    marks = marks.where("n > 1").select("digest", F.col("top.page_id").alias("first"), F.col("top.u").alias("first_url"))
+    each = rows.where("large").groupBy("digest", "page_id", F.coalesce("url", F.lit("")).alias("u")).agg(F.count("*").alias("k"))
+    marks = each.groupBy("digest").agg(F.max(F.struct("page_id", "u", "k")).alias("top"), F.sum("k").alias("n"))
+    marks = written(marks.where("n > 1").select("digest", F.col("top.page_id").alias("first"), F.col("top.u").alias("first_url"), F.col("top.k").alias("k")), "warc-marks")
+    repeated = marks.where("k > 1").limit(1).count() > 0
+    marks = marks.drop("k")
     large = rows.where("large").join(marks, "digest", "left")
     same = F.col("page_id").eqNullSafe(F.col("first")) & (F.coalesce("url", F.lit("")) == F.col("first_url"))
     refers = F.when(F.col("first_url").isNotNull() & ~same, F.col("first"))
     # refers_to of a lone null page_id can't be told from a response's, so revisit says it
     large = large.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), (F.col("first_url").isNotNull() & ~same).alias("revisit"), (F.col("first_url").isNotNull() & same).alias("shared"))
     # rows repeated with the same page_id and url: all but one revisit
-    lone = large.where(~F.col("shared"))
+    lone = large.where(~F.col("shared")) if repeated else large
     w = Window.partitionBy("digest").orderBy(F.monotonically_increasing_id())
     tops = large.where("shared").withColumn("i", F.row_number().over(w))
     tops = tops.select("page_id", "url", "payload", "digest", F.when(F.col("i") > 1, F.col("page_id")).alias("refers_to"), (F.col("i") > 1).alias("revisit"), "shared")
     small = rows.where("not large").select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"), F.lit(False).alias("shared"))
-    return lone.unionByName(tops).unionByName(small).drop("shared")
+    out = lone.unionByName(tops) if repeated else lone
+    return out.unionByName(small).drop("shared")
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
