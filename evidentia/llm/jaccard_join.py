@@ -10,10 +10,10 @@ corners of bounding boxes, the sum for all pairs of two R-tree nodes.
    signatures, so the signature's shingles say which trees a point is in.  The order puts shingles that a bounded
    sample shows to be common last, which keeps trees small; any order gives the same links.
 2. Documents with equal sets are one class, and only classes go on.
-3. The points under one shingle form an R-tree.  First each point meets the least of its possible partners; survivors
-   are verified on the sets, and components formed.  Then all surviving pairs that still lie in different components
-   are verified.  So a group of thousands of near copies costs a few pairs for each of its texts, and no link that
-   matters to the components is left out.
+3. The points under one shingle form an R-tree.  First each point meets one of its possible partners, in the first round
+   the least, in the next ones that with the greatest bound; survivors are verified on the sets, and components formed.
+   Then all surviving pairs that still lie in different components are verified.  So a group of thousands of near
+   copies costs a few pairs for each of its texts, and no link that matters to the components is left out.
 
 Defined results: null and wordless texts have no shingles and link with nothing; texts of fewer than five words are
 one shingle; the component of rows is their smallest non-null doc_id (null if all are null); repeated rows are copies; an empty
@@ -32,13 +32,17 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import discard, release, spread, text_of, written
 from evidentia.llm.components import connected_components
 
-WORDS, GROUPS, LEAF = 5, 64, 64
+WORDS, GROUPS, LEAF = 5, 256, 64
+#: The greatest count of a point; it stands for more, too, and bounds nothing.
+FULL = 255
 #: Documents of the sample that finds common shingles, how many of them must hold one, and the longest list of such shingles.
 SAMPLE_DOCS, COMMON, COMMON_MOST = 20_000, 3, 200_000
 #: A class is sketched once a task while the task remembers so many.
 REMEMBERED = 1 << 20
 #: Rounds in which each point meets one partner, before all pairs between components.
 STARS = 3
+#: Bounds are compared in millionths of n + m; from the third round on, pairs gain or lose up to so many by hash, which tries others.
+SCALE, JITTER = 1_000_000, 10_000
 #: Bits of the filter that spares texts without candidates the shuffle.
 FILTER_BITS = 1 << 24
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -71,31 +75,28 @@ def fingerprint(s: np.ndarray) -> int:
     return int(_mix(s + np.uint64(0x51ED270B)).sum().astype(np.int64)) if len(s) else 0
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((_mix(s) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<i4")
+def _counts(s: np.ndarray, bits: int) -> np.ndarray:
+    counts = np.bincount((_mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, FULL).astype(np.uint8)
 
 
-def packed(p: np.ndarray) -> bytes:
-    """The low bytes of all counts, then the next ones: the zeros lie together and compress."""
-    return np.ascontiguousarray(p.view(np.uint8).reshape(GROUPS, 4).T).tobytes()
+def point(s: np.ndarray) -> np.ndarray:
+    return _counts(s, GROUPS.bit_length() - 1)
 
 
 def unpacked(raw: list[bytes]) -> np.ndarray:
-    planes = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 4, GROUPS)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i4").reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS)
 
 
 def fine_point(s: np.ndarray) -> bytes:
-    """Counts by as many groups (a power of two) as give about four shingles each, in bytes; 255 stands for more, too."""
-    bits = max(6, int(len(s) // 4).bit_length())
-    counts = np.bincount((_mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """Counts by as many groups (a power of two) as give about two shingles each."""
+    return _counts(s, max(8, int(len(s) // 2).bit_length())).tobytes()
 
 
 def fine_bound(a: bytes, b: bytes) -> int:
     """At least the overlap of two sets, from their fine points; the larger one's neighbouring groups are added up."""
     x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
-    if 255 in x or 255 in y:
+    if FULL in x or FULL in y:
         return 1 << 40
     x, y = (v.reshape(min(len(x), len(y)), -1).sum(axis=1) for v in (x, y))
     return int(np.minimum(x, y).sum())
@@ -133,7 +134,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sets = [shingles(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "point": [packed(point(s)) for s in sets], "fine": [fine_point(s) for s in sets], "sig": [signature(s, common).tobytes() for s in sets]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "point": [point(s).tobytes() for s in sets], "fine": [fine_point(s) for s in sets], "sig": [signature(s, common).tobytes() for s in sets]})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
     out = rows.mapInPandas(run, "doc_id string, n long, fp long, point binary, fine binary, sig binary")
@@ -210,78 +211,91 @@ class RTree:
             parts += [part[j : j + LEAF] for j in range(0, len(part), LEAF)]
         self.leaves = parts
         self.points, self.sizes = points, sizes
+        self.full = (points == FULL).any(axis=1)
         self.top = np.array([points[p].max(axis=0) for p in parts])
         self.least = np.array([sizes[p].min() for p in parts])
         self.most = np.array([sizes[p].max() for p in parts])
 
-    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of points (in blocks) whose coordinate minima allow a similarity of 0.8: 9 * overlap >= 4 * (n + m)."""
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of points (in blocks), and their bounds, whose coordinate minima allow a similarity of 0.8: 9 * overlap >= 4 * (n + m)."""
         for i, own in enumerate(self.leaves):
-            bound = np.minimum(self.top[i], self.top[i:]).sum(axis=1)
-            fit = (9 * bound >= 4 * (self.least[i] + self.least[i:])) & (5 * self.most[i] >= 4 * self.least[i:]) & (5 * self.most[i:] >= 4 * self.least[i])
+            bound = np.minimum(self.top[i], self.top[i:]).sum(axis=1, dtype=np.int64)
+            full = (self.top[i] == FULL).any() | (self.top[i:] == FULL).any(axis=1)
+            fit = ((9 * bound >= 4 * (self.least[i] + self.least[i:])) | full) & (5 * self.most[i] >= 4 * self.least[i:]) & (5 * self.most[i:] >= 4 * self.least[i])
             for j in np.flatnonzero(fit) + i:
                 other = self.leaves[j]
-                overlap = np.minimum(self.points[own][:, None], self.points[other][None]).sum(axis=2)
+                overlap = np.minimum(self.points[own][:, None], self.points[other][None]).sum(axis=2, dtype=np.int64)
                 ok = 9 * overlap >= 4 * (self.sizes[own][:, None] + self.sizes[other][None])
+                ok |= self.full[own][:, None] | self.full[other][None]
                 if i == j:
                     ok = np.triu(ok, 1)
                 x, y = np.nonzero(ok)
                 if len(x):
-                    yield own[x], other[y]
+                    yield own[x], other[y], overlap[x, y]
 
 
 def candidate_pairs(members: DataFrame, choice: int | None) -> DataFrame:
     """Distinct (a, b), a < b, from the trees of members (h, fp, n, point, label), only across labels.
 
-    choice None: all pairs; else for each point one partner over all its trees, the least by an order that choice gives."""
-    salt = np.uint64(choice or 0)
+    choice None: all pairs; else for each point one partner over all its trees: for 0 the least, then that of the greatest bound."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, "h"):
             h, fp, n, label = (f[c].to_numpy() for c in ("h", "fp", "n", "label"))
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             ends = np.append(starts[1:], len(h))
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             two = starts[(ends - starts) == 2]
             pts = unpacked(list(f["point"]))
             if len(two):
-                overlap = np.minimum(pts[two], pts[two + 1]).sum(axis=1)
-                ok = (9 * overlap >= 4 * (n[two] + n[two + 1])) & (label[two] != label[two + 1])
-                out.append((fp[two[ok]], fp[two[ok] + 1]))
+                overlap = np.minimum(pts[two], pts[two + 1]).sum(axis=1, dtype=np.int64)
+                full = (np.maximum(pts[two], pts[two + 1]) == FULL).any(axis=1)
+                ok = ((9 * overlap >= 4 * (n[two] + n[two + 1])) | full) & (label[two] != label[two + 1])
+                x, y = fp[two[ok]], fp[two[ok] + 1]
+                score = _scores(x, y, (n[two] + n[two + 1])[ok], overlap[ok], choice or 0)
+                out += [(x, y, score), (y, x, score)]
             for s, e in zip(starts.tolist(), ends.tolist()):
                 if e - s < 3 or (label[s:e] == label[s]).all():
                     continue
-                mine, own = fp[s:e], label[s:e]
-                # places by rank, so that the least rank is the partner
-                rank = np.argsort(np.argsort(_order(mine, salt), kind="stable"))
-                partner = np.full(e - s, e - s)
-                for x, y in RTree(pts[s:e], n[s:e]).candidates():
+                mine, own, size = fp[s:e], label[s:e], n[s:e]
+                best = np.full(e - s, -1)
+                for x, y, overlap in RTree(pts[s:e], size).candidates():
                     cross = own[x] != own[y]
-                    x, y = x[cross], y[cross]
+                    x, y, overlap = x[cross], y[cross], overlap[cross]
                     if choice is None:
-                        out.append((mine[x], mine[y]))
-                    else:
-                        np.minimum.at(partner, x, rank[y])
-                        np.minimum.at(partner, y, rank[x])
+                        out.append((mine[x], mine[y], np.zeros(len(x), np.int64)))
+                        continue
+                    # the greatest score wins, then the least place; places follow the fingerprints
+                    score = _scores(mine[x], mine[y], size[x] + size[y], overlap, choice) << 32
+                    np.maximum.at(best, x, score + (e - s - 1 - y))
+                    np.maximum.at(best, y, score + (e - s - 1 - x))
                 if choice is not None:
-                    some = partner < e - s
-                    out.append((mine[some], mine[np.argsort(rank)][partner[some]]))
+                    some = best >= 0
+                    out.append((mine[some], mine[e - s - 1 - (best[some] & 0xFFFFFFFF)], best[some] >> 32))
             if out:
-                a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+                a, b, score = (np.concatenate(v) for v in zip(*out))
                 if choice is None:
                     a, b = np.minimum(a, b), np.maximum(a, b)
-                pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "o": _order(pairs[:, 1], salt)})
+                pairs = np.unique(np.stack([a, b, score], axis=1), axis=0)
+                yield pd.DataFrame(pairs, columns=["a", "b", "score"])
 
     rows = members.repartition(spread(members.sparkSession), "h").sortWithinPartitions("h", "fp")
-    pairs = rows.mapInPandas(run, "a long, b long, o long")
+    pairs = rows.mapInPandas(run, "a long, b long, score long")
     if choice is not None:
-        pairs = pairs.groupBy("a").agg(F.min(F.struct("o", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+        best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("score"), "b")).alias("m"))
+        pairs = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
     return pairs.select("a", "b").distinct()
 
 
-def _order(fps: np.ndarray, salt: np.uint64) -> np.ndarray:
-    return fps if not salt else _mix(fps.view(np.uint64) + salt).view(np.int64)
+def _scores(a: np.ndarray, b: np.ndarray, total: np.ndarray, overlap: np.ndarray, choice: int) -> np.ndarray:
+    """What a round prefers: nothing, then the bound's share of both sizes, then that with some chance."""
+    if choice == 0:
+        return np.zeros(len(a), np.int64)
+    score = overlap.astype(np.int64) * SCALE // total
+    if choice > 1:
+        mixed = _mix((a ^ b).view(np.uint64) + np.uint64(choice))
+        score += (mixed % np.uint64(2 * JITTER)).astype(np.int64) - JITTER
+    return np.maximum(score, 0)
 
 
 def _among(ids: DataFrame):
