@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import dates, scoring
+from evidentia.functions import boxes, dates, scoring
 from evidentia.functions import text as t
-from evidentia.operators import jobs, keys, rules
+from evidentia.operators import jobs, keys, ranking, rules, windows
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -174,6 +174,42 @@ def alert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.deduplicate_open(rows, "dedupe_key", F.col("event_id")).select("event_id", "user_id", "event_type")
 
 
+_NOISE = "trim(regexp_replace(translate({x}, '“”‘’`´–—[]{{}}|¦•·º°', '\"\"''--1111II..oo'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: {_NOISE.format(x='x')}), lambda x: x <> '') AS ls, {_NOISE.format(x='text')} AS whole FROM documents),
+w AS (SELECT DISTINCT doc_id, unnest(list_concat([whole], flatten(list_transform(range(1, len(ls) + 1), lambda i: [ls[i], array_to_string(ls[i:i + 1], ' '), array_to_string(ls[greatest(i - 1, 1):i], ' '), array_to_string(ls[greatest(i - 1, 1):i + 1], ' ')])))) AS raw FROM l)
+SELECT doc_id, count(*) AS n, sum(len(raw))::BIGINT AS chars FROM w WHERE {_SEARCH.format(x='raw')} <> '' GROUP BY doc_id""")
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and length of each document's windows of lines."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(windows.line_windows(F.col("text"))).alias("w"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("w.raw")).alias("chars"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all({_NOISE.format(x='text')}, '[0-9]{{8,11}}')) AS r FROM documents),
+d AS (SELECT doc_id, unnest(list_transform(range(1, len(r) - 5), lambda i: substr(r, i, 7))) AS digits FROM r)
+SELECT doc_id, digits, count(*) AS n FROM d GROUP BY ALL""")
+def digit_runs_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of seven digits of longer runs."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(windows.sliding_digits(F.col("text"))).alias("digits"))
+    return rows.groupBy("doc_id", "digits").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS i FROM lineitem)
+SELECT l_orderkey, max(q) AS best, max(q) - max(q) FILTER (i = 2) AS gap FROM r WHERE i <= 2 GROUP BY l_orderkey""")
+def tie_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lead of the best over the runner-up."""
+    return ranking.tie_gap(_table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("q")), "l_orderkey", "q")
+
+
+@query("""WITH g AS (SELECT l_orderkey, l_partkey, max(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY ALL)
+SELECT *, EXISTS (SELECT 1 FROM g b WHERE b.l_orderkey = a.l_orderkey AND b.l_partkey <> a.l_partkey AND b.q >= a.q - 5) AS competes FROM g a""")
+def competing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with another one close behind or ahead."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max(F.col("l_quantity").cast("double")).alias("q"))
+    return ranking.competing(rows, "l_orderkey", "l_partkey", "q", 5)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup of extracted keys, and rescue of those that aren't found."""
     return key_lookup(spark, sf_dir).join(key_rescue(spark, sf_dir), "doc", "left")

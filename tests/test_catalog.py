@@ -4,9 +4,9 @@ import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
-from evidentia.functions import dates, scoring
+from evidentia.functions import boxes, dates, scoring
 from evidentia.functions import text as t
-from evidentia.operators import rules
+from evidentia.operators import rules, windows
 from evidentia.plans import catalog
 from evidentia.streaming import jobs as stream
 
@@ -50,6 +50,18 @@ def test_scores_and_dates(spark):
     assert got == {"a": "1", "b": "3"}
 
 
+def test_windows_and_boxes(spark):
+    L = F.lit
+    got = [w["raw"] for w in one(spark, windows.line_windows(L("a\n--\nb")))]
+    assert got == ["a", "a --", "-- b", "a -- b", "b"]
+    assert one(spark, windows.line_windows(L(None))) == [] == one(spark, windows.sliding_digits(L("")))
+    assert one(spark, windows.sliding_digits(L("x 123456789"))) == ["1234567", "2345678", "3456789"]
+    assert one(spark, windows.token_windows(F.array(L("a"), L("b"), L("c")), 2)) == ["a", "b", "c", "a b", "b c", "a b c"]
+    a, b = (boxes.box(*map(L, v)) for v in ((0.0, 0.0, 0.5, 0.5), (0.25, 0.0, 0.5, 0.5)))
+    assert one(spark, boxes.overlap_share(a, b)) == 0.5 and one(spark, boxes.overlap_share(a, L(None).cast("struct<x:double,y:double,width:double,height:double>"))) == 0.0
+    assert one(spark, boxes.expanded(a, 0.25, 0.25)).asDict() == {"x": 0.0, "y": 0.0, "width": 1.0, "height": 1.0}
+
+
 def test_stream(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").limit(500)
     events.write.parquet(f"{tmp_path}/in")
