@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as t
+
 
 def is_calendar_date(day: Column, month: Column, year: Column) -> Column:
     """A real date; years of two digits are of this century."""
@@ -21,6 +23,42 @@ def is_compact_date(digits: Column) -> Column:
     return F.when(digits.rlike("^[0-9]{6}$"), six).when(digits.rlike("^[0-9]{8}$"), eight).otherwise(False)
 
 
+def artifact_variants(digits: Column) -> Column:
+    """The digits, and what is left when one or two of their 1s, which may be misread separators, are dropped."""
+
+    def dropped(d: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), lambda i: F.when(F.substring(d, i, F.lit(1)) == "1", F.concat(F.substring(d, F.lit(1), i - 1), F.substring(d, i + 1, F.length(d)))).otherwise(d))
+
+    return F.array_remove(F.array_distinct(F.flatten(F.transform(dropped(digits), dropped))), "")
+
+
+def looks_like_date(digits: Column, around: Column) -> Column:
+    """Whether the text around holds a date with separators, or the digits, some 1s dropped or not, can be one."""
+    separated = t.normalize_noise(around).rlike(r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b")
+    return separated | F.exists(artifact_variants(digits), is_compact_date)
+
+
+def brazilian_date(x: Column) -> Column:
+    """(dd/MM/yyyy, ISO) of a day, month and year separated by . - or /; nulls where it is no date."""
+    parts = F.split(F.translate(t.normalize_noise(x), ".-", "//"), "/", -1)
+    at = lambda i: F.get(parts, F.lit(i))
+    year = F.when(F.length(at(2)) == 2, F.concat(F.lit("20"), at(2))).otherwise(at(2))
+    iso = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(at(1), 2, "0"), F.lpad(at(0), 2, "0")).try_cast("date")
+    shaped = (F.size(parts) == 3) & at(0).rlike("^[0-9]{1,2}$") & at(1).rlike("^[0-9]{1,2}$") & year.rlike("^[0-9]{4}$")
+    day = F.when(shaped, iso)
+    return F.struct(F.date_format(day, "dd/MM/yyyy").alias("date"), F.date_format(day, "yyyy-MM-dd").alias("iso"))
+
+
+def on_local_date(ts: Column, day: str, zone: str = "UTC") -> Column:
+    """Whether a UTC time is on that day in the zone."""
+    return F.to_date(F.from_utc_timestamp(ts, zone)) == F.to_date(F.lit(day))
+
+
+def key_parts(ts: Column) -> Column:
+    """yyyy/MM/dd of an object's key."""
+    return F.date_format(ts, "yyyy/MM/dd")
+
+
 def date_only(x: Column) -> Column:
     """yyyy-MM-dd of epoch seconds or milliseconds, or of a text; null where it isn't one."""
     n = x.try_cast("long")

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from evidentia.functions.text import search_tokens, searchable
 
 
+def r2(x: Column) -> Column:
+    """Two digits, halves up."""
+    return F.floor(x * 100 + 0.5) / 100
+
+
+def r4(x: Column) -> Column:
+    return F.floor(x * 10000 + 0.5) / 10000
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - distance / longer length of the searchable texts, 4 digits; two empty texts are alike."""
     x, y = searchable(a), searchable(b)
