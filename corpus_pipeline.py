@@ -14,8 +14,11 @@ from evidentia.llm.common import table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the log-likelihood ratio."""
-    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that pass the base rules and the log-likelihood ratio.
+
+    The row number keeps the filter above the projection: pushed into it, the whole score would be computed anew for each of its uses."""
+    judged = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).withColumn("_n", F.monotonically_increasing_id())
+    return judged.where("kept and _n >= 0").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
