@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, dates, scoring
 from evidentia.functions import text as t
-from evidentia.operators import jobs, keys, ranking, rules, windows
+from evidentia.operators import fields, jobs, keys, ranking, rules, windows
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -210,6 +210,12 @@ def competing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.competing(rows, "l_orderkey", "l_partkey", "q", 5)
 
 
+@query(f"SELECT page_id, array_to_string(list_filter(['data', 'the', 'page', 'recebimento'], lambda w: contains({_SEARCH.format(x='html')}, w)), ',') AS words FROM pages")
+def html_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each page holds."""
+    return _table(spark, sf_dir, "pages").select("page_id", F.array_join(fields.markers(F.col("html"), ("data", "the", "page", "recebimento")), ",").alias("words"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup of extracted keys, and rescue of those that aren't found."""
     return key_lookup(spark, sf_dir).join(key_rescue(spark, sf_dir), "doc", "left")
