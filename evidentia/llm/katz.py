@@ -1,14 +1,16 @@
 """Language-model scoring: a Katz backoff bigram model with Good-Turing discounts.
 
 Tokens are words, A-Z in lower case, and one end token a text; all training texts are counted.  Unigram counts up to K are
-discounted by Good-Turing, and the mass they leave is that of the unknown word.  Bigrams are kept for pairs of words
-that each make up ``floor`` of the training tokens or more (so at most 1/floor words, at every corpus size); their
+discounted by Good-Turing, and the mass they leave is that of the unknown word.  All bigrams are counted; their
 counts are discounted alike, and each history's backoff weight is what exactly normalises it.  p(w | h) is the
 discounted bigram where it was seen, else backoff(h) * p(w), and p(w) is the discounted unigram or the unknown word.
 
-The tables are partitioned by key.  To score, every task sums what bounded arrays tell it (frequent words, their
-backoff weights, bigrams that make up ``floor`` of all), and asks the tables' partitions about the rest: the
-distinct keys of some thousand texts with the texts they are from, so that a hot key is one entry a task.
+Words that make up FLOOR of the training tokens or more (so at most 1/FLOOR, at every corpus size) are frequent and
+known by ids, the others by hashes; this chooses what is broadcast and changes no result.  The tables are partitioned
+by key.  To score, every task sums what bounded arrays tell it (frequent words, their backoff weights, bigrams that
+make up FLOOR of all), and asks the tables' partitions about the rest: rare words with their backoff weights, bigrams
+of frequent words, bigrams with a rare one.  It asks for the distinct keys of some thousand texts with the texts they
+are from, so that a hot key is one entry a task.
 
 Defined results: null and empty texts are one end token; repeated rows are counted and scored each; a null doc_id
 counts as '' in the split; without training texts every token is the unknown word of probability 1 and the base score is 0; an empty table gives no rows.
@@ -26,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import spread, text_of, written
+from evidentia.llm.common import discard, release, spread, text_of, written
 
 K, FLOOR = 5, 1e-6
 #: No word has a space in it.
 END = xxhash.xxh64_intdigest(b" end")
+#: In the place of the history, where both words are frequent and the other column has the key of their ids.
+BOTH = -1
 BITS = 20
 CHUNK_TOKENS, CHUNK_DOCS = 1 << 21, 60_000
 
@@ -62,6 +66,8 @@ class Model:
     unknown: float
     words: np.ndarray  # frequent words' hashes, sorted; a word's place is its id, and the id after the last is the start
     counts: np.ndarray
+    least: float  # the least count of a frequent word
+    mixed: bool  # bigrams with a rare word were counted
     histories: np.ndarray  # by id: what bigram counts are divided by
     backoff: np.ndarray
     hot_keys: np.ndarray
@@ -85,16 +91,50 @@ class Model:
         """Ids of frequent words, -1 for others."""
         if len(self.words) == 0:
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, -1)
+        at = np.searchsorted(self.words, h)
+        np.minimum(at, len(self.words) - 1, out=at)
+        at[self.words[at] != h] = -1
+        return at
 
 
-def _bigram_keys(ids: np.ndarray, starts: np.ndarray, start_id: int) -> np.ndarray:
-    """Keys of (history, word) at every token, -1 where either isn't frequent; starts: the first tokens of texts."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[starts] = start_id
-    return np.where((before >= 0) & (ids >= 0), before << BITS | ids, -1)
+def _histories(x: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+    """What is before every token; starts: the first tokens of texts."""
+    before = np.empty_like(x)
+    before[1:] = x[:-1]
+    before[starts] = start
+    return before
+
+
+def _mixed(t: np.ndarray, ids: np.ndarray, before: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Histories and words at some places: ids of frequent words, hashes of others."""
+    h, w = before[at], ids[at]
+    return np.where(h >= 0, h, t[at - 1]), np.where(w >= 0, w, t[at])
+
+
+def _pieces(h: np.ndarray, w: np.ndarray, c: np.ndarray, rows: int = 1 << 17) -> Iterator[pd.DataFrame]:
+    for i in range(0, len(c), rows):
+        yield pd.DataFrame({"h": h[i : i + rows], "w": w[i : i + rows], "c": c[i : i + rows]})
+
+
+def _pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of pairs with a rare word, as _pair_key makes them; h, w: ids of frequent words, hashes of others."""
+    u = w.view(np.uint64)
+    return h ^ (u << np.uint64(BITS) | u >> np.uint64(64 - BITS)).view(np.int64)
+
+
+def _pair_key(h: str, w: str) -> Column:
+    return F.col(h).bitwiseXOR(F.shiftleft(w, BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - BITS)))
+
+
+def _trim() -> None:
+    """Give freed memory back to the system; workers are used again and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def _chunks(frames: Iterable[pd.DataFrame], *columns: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[list]]]:
@@ -109,53 +149,87 @@ def _chunks(frames: Iterable[pd.DataFrame], *columns: str) -> Iterator[tuple[np.
             for r, c in zip(rest, columns):
                 r.append(f[c].iat[i])
             if total >= CHUNK_TOKENS or len(held) >= CHUNK_DOCS:
-                yield np.concatenate(held), np.array(sizes), rest
+                chunk = [np.concatenate(held), np.array(sizes), rest]
                 held, sizes, rest, total = [], [], [[] for _ in columns], 0
+                yield chunk.pop(0), *chunk
+                _trim()
     if held:
-        yield np.concatenate(held), np.array(sizes), rest
+        chunk = [np.concatenate(held), np.array(sizes), rest]
+        del held
+        yield chunk.pop(0), *chunk
+    _trim()
 
 
-def _counted(texts: DataFrame, keys, shared) -> DataFrame:
-    """key and c over all texts; keys(tokens, starts, shared value) gives the keys of a chunk."""
+def _counted(texts: DataFrame) -> DataFrame:
+    """key and c of all words."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t, sizes, _ in _chunks(frames):
-            u, c = np.unique(keys(t, np.cumsum(sizes) - sizes, shared.value), return_counts=True)
-            yield pd.DataFrame({"key": u[c > 0], "c": c})
+        for t, _, _ in _chunks(frames):
+            u, c = np.unique(t, return_counts=True)
+            yield pd.DataFrame({"key": u, "c": c})
 
     return texts.mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _all_words(t, starts, _):
-    return t
+def _counted_pairs(texts: DataFrame, model: Model) -> DataFrame:
+    """h, w and c of all pairs, or without those with a rare word (see Model.mixed).  Of two frequent words h is BOTH and w has the key."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for t, sizes, _ in _chunks(frames):
+            ids, starts = m.ids(t), np.cumsum(sizes) - sizes
+            before = _histories(ids, starts, len(m.words))
+            both = (before >= 0) & (ids >= 0)
+            h, w = _mixed(t, ids, before, np.flatnonzero(~both)) if m.mixed else (ids[:0], ids[:0])
+            u = before[both] << BITS
+            u |= ids[both]
+            del t, ids, before, both
+            u, c = np.unique(u, return_counts=True)
+            yield from _pieces(np.broadcast_to(BOTH, len(u)), u, c)
+            del u, c
+            _, at, c = np.unique(_pair_hash(h, w), return_index=True, return_counts=True)
+            yield from _pieces(h[at], w[at], c)
+
+    return texts.mapInPandas(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+
 
+def _share(d: np.ndarray, c: str) -> Column:
+    """The discounted count."""
+    return F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(F.col(c), F.lit(K + 1)).cast("int") + 1) * F.col(c)
 
-def _frequent_pairs(t, starts, words):
-    model = Model(0, 0, None, None, 1, 1, words, None, None, None, None, None)
-    keys = _bigram_keys(model.ids(t), starts, len(words))
-    return keys[keys >= 0]
+
+def _with_words(pairs: DataFrame, on: str, frequent: DataFrame, rare: DataFrame) -> DataFrame:
+    """pairs with the columns of their word: those of frequent words are broadcast, so that no task gets all pairs of one."""
+    known = F.col(on).between(0, (1 << BITS) - 1)
+    return pairs.where(known).join(F.broadcast(frequent), on).unionByName(pairs.where(~known).join(rare.hint("shuffle_hash"), on))
 
 
 def _counts_of_counts(table: DataFrame) -> dict[int, int]:
     return {r["c"]: r["m"] for r in table.where(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("m")).collect()}
 
 
-def learn(docs: DataFrame, trained: Column, floor: float = FLOOR) -> tuple[Model, DataFrame, DataFrame]:
-    """The model's arrays, and the tables (key, c) of all words and of kept bigrams."""
-    sc = docs.sparkSession.sparkContext
+def learn(docs: DataFrame, trained: Column, floor: float = 0.0) -> tuple[Model, DataFrame, DataFrame]:
+    """The model's arrays, and the tables of rare words (key, c, x: log10 of the backoff weight) and of bigrams (kind 2: of
+    frequent words, kind 3: with a rare one; key, c of the former, x: gain of the latter).  With a floor, words below that share have no bigrams."""
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     texts = docs.where(trained).select(text_of().alias("text"))
-    unigrams = written(_counted(texts, _all_words, sc.broadcast(None)), "unigrams")
+    unigrams = written(_counted(texts), "unigrams")
     total = unigrams.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("key") == F.lit(int(np.uint64(END).astype(np.int64))), F.col("c"))).alias("docs")).first()
     n, v, n_docs = total["n"] or 0, total["v"], total["docs"] or 0
     m = _counts_of_counts(unigrams)
     d1 = discounts(m)
     left = sum(m.get(r, 0) * r * (1 - d1[r]) for r in range(1, K + 1))
     n1, unknown = (n, left / n) if left > 0 else (n + 1, 1 / (n + 1))
-    frequent = unigrams.where(F.col("c") >= F.lit(floor * n)).toPandas().sort_values("key")
+    least = (floor or FLOOR) * n
+    frequent = unigrams.where(F.col("c") >= F.lit(least)).toPandas().sort_values("key")
     words, counts = frequent["key"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
-    bigrams = written(_counted(texts, _frequent_pairs, sc.broadcast(words)), "bigrams")
-    d2 = discounts(_counts_of_counts(bigrams))
-    model = Model(n, v, d1, d2, float(n1), unknown, words, counts, np.append(counts, n_docs).astype(float), np.ones(len(words) + 1), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    model = Model(n, v, d1, np.ones(K + 2), float(n1), unknown, words, counts, least, not floor and least > 1, np.append(counts, n_docs).astype(float), np.ones(len(words) + 1), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    pairs = written(_counted_pairs(texts, model), "pairs")
+    release(spark)
+    model.d2 = discounts(_counts_of_counts(pairs))
+    bigrams = pairs.where(F.col("h") == BOTH).select(F.col("w").alias("key"), "c")
     seen = sc.broadcast(model)
 
     def sums(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,15 +243,40 @@ def learn(docs: DataFrame, trained: Column, floor: float = FLOOR) -> tuple[Model
         some = np.flatnonzero(high)
         yield pd.DataFrame({"h": some, "high": high[some], "low": low[some]})
 
-    each = bigrams.mapInPandas(sums, "h long, high double, low double").groupBy("h").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).toPandas()
+    rare = unigrams.where(F.col("c") < F.lit(least))
+    if model.mixed:
+        ids = spark.createDataFrame(pd.DataFrame({"w": np.arange(len(words)), "of_w": counts}), "w long, of_w long")
+        mixed = _with_words(pairs.where(F.col("h") != BOTH), "w", ids, rare.select(F.col("key").alias("w"), F.col("c").alias("of_w")))
+        mixed = written(mixed.select("h", _pair_key("h", "w").alias("key"), "c", (_share(d1, "of_w") / F.lit(model.n1)).alias("p")), "mixed")
+        bigrams = written(bigrams, "bigrams")
+        discard(pairs)
+        release(spark)
+        mixed_sums = mixed.groupBy("h").agg(F.sum(_share(model.d2, "c")).alias("high"), F.sum("p").alias("low"))
+        known = F.col("h").between(0, (1 << BITS) - 1)
+    each = bigrams.mapInPandas(sums, "h long, high double, low double")
+    if model.mixed:
+        each = each.unionByName(mixed_sums.where(known))
+    each = each.groupBy("h").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).toPandas()
     h, high, low = each["h"].to_numpy(np.int64), each["high"].to_numpy(float), each["low"].to_numpy(float)
     # a history that leaves no mass gets one count more
     full = high >= model.histories[h] * (1 - 1e-12)
     model.histories[h[full]] += 1
     model.backoff[h] = (1 - high / model.histories[h]) / (1 - low)
-    hot = bigrams.where(F.col("c") >= F.lit(max(floor * n, 1))).toPandas().sort_values("key")
+    hot = bigrams.where(F.col("c") >= F.lit(max(least, 1))).toPandas().sort_values("key")
     model.hot_keys, model.hot_counts = hot["key"].to_numpy(np.int64), hot["c"].to_numpy(np.int64)
-    return model, unigrams, bigrams
+    table = bigrams.select(F.lit(2).alias("kind"), "key", "c", F.lit(0.0).alias("x"))
+    if not model.mixed:
+        return model, rare.select("key", "c", F.lit(0.0).alias("x")), table
+    of = mixed_sums.where(~known).join(rare.select(F.col("key").alias("h"), F.col("c").alias("n")), "h")
+    of = of.withColumn("n", F.col("n") + (F.col("high") >= F.col("n") * (1 - 1e-12)).cast("int"))
+    of = written(of.select("h", F.col("n").cast("double").alias("n"), F.log10((1 - F.col("high") / F.col("n")) / (1 - F.col("low"))).alias("x")), "histories")
+    ids = spark.createDataFrame(pd.DataFrame({"h": np.arange(len(words) + 1), "n": model.histories, "x": np.log10(model.backoff)}), "h long, n double, x double")
+    gain = F.log10(_share(model.d2, "c") / F.col("n")) - F.col("x") - F.log10("p")
+    gains = written(_with_words(mixed, "h", ids, of).select(F.lit(3).alias("kind"), "key", F.lit(1).cast("long").alias("c"), gain.alias("x")), "gains")
+    discard(mixed)
+    release(spark)
+    rare = rare.join(of.select(F.col("h").alias("key"), "x"), "key", "left")
+    return model, rare.select("key", "c", F.coalesce("x", F.lit(0.0)).alias("x")), table.unionByName(gains)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -213,7 +312,7 @@ def _ask(part_of, kind: int, first: int, keys: np.ndarray, text: np.ndarray, par
         yield (p, kind, first, _planes(np.diff(k, prepend=np.int64(0)).astype("<i8")), _planes(whose[mine]), _planes(times[mine].astype("<u4")), None, None, None, None, None, None)
 
 
-def score(docs: DataFrame, model: Model, unigrams: DataFrame, bigrams: DataFrame, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, model: Model, rare: DataFrame, bigrams: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     parts = _prime(max(2, spread(spark)))
@@ -229,9 +328,10 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, bigrams: DataFrame
             text = np.repeat(np.arange(k), sizes)
             ids = m.ids(t)
             known = ids >= 0
-            keys = _bigram_keys(ids, starts, len(m.words))
-            before = np.empty_like(ids)
-            before[1:], before[starts] = ids[:-1], len(m.words)
+            before = _histories(ids, starts, len(m.words))
+            keys = np.where((before >= 0) & known, before << BITS | ids, -1)
+            mixed = np.flatnonzero(keys < 0) if m.mixed else np.zeros(0, int)
+            mixed_keys = _pair_hash(*_mixed(t, ids, before, mixed))
             add = lambda where, what: np.bincount(text[where], what, minlength=k)
             lp_sum = add(known, lp[ids[known]]) + add(before >= 0, la[before[before >= 0]])
             pair = np.flatnonzero(keys >= 0)
@@ -240,7 +340,7 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, bigrams: DataFrame
                 hot = m.hot_keys[at] == keys[pair]
                 lp_sum += np.bincount(text[pair[hot]], m.gain(m.hot_keys, m.hot_counts)[at[hot]], minlength=k)
                 pair = pair[~hot]
-            rows = [*_ask(part_of, 1, first, t[~known], text[~known], parts), *_ask(part_of, 2, first, keys[pair], text[pair], parts)]
+            rows = [*_ask(part_of, 1, first, t[~known], text[~known], parts), *_ask(part_of, 2, first, keys[pair], text[pair], parts), *_ask(part_of, 3, first, mixed_keys, text[mixed], parts)]
             rest = {"doc_id": doc_ids, "held_out": held, "n_tokens": sizes, "n_known": np.bincount(text[known], minlength=k), "base": add(known, lb[ids[known]]), "score": lp_sum}
             own = pd.DataFrame({"part": (first + np.arange(k)) % parts, "kind": 0, "first": first + np.arange(k), "keys": None, "texts": None, "times": None, **rest})
             yield own[names]
@@ -252,30 +352,38 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, bigrams: DataFrame
 
     def answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         m, out = shared.value, [asked.loc[asked["kind"] == 0, ["first", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]]]
-        for kind in (1, 2):
+        for kind in (1, 2, 3):
             mine = table[table["kind"] == kind].sort_values("key")
-            have, c = mine["key"].to_numpy(), mine["c"].to_numpy()
+            have, c, x = mine["key"].to_numpy(), mine["c"].to_numpy(), mine["x"].to_numpy()
             for r in asked[asked["kind"] == kind].itertuples(index=False):
                 key, times = np.cumsum(_from_planes(r.keys, "<i8")), _from_planes(r.times, "<u4")
                 whose = _from_planes(r.texts, "<u2").astype(np.int64)
                 at = np.minimum(np.searchsorted(have, key), max(0, len(have) - 1))
-                found = np.where(have[at] == key, c[at], 0) if len(have) else np.zeros(len(key), np.int64)
+                hit = have[at] == key if len(have) else np.zeros(len(key), bool)
+                found, more = (np.where(hit, c[at], 0), np.where(hit, x[at], 0.0)) if len(have) else (np.zeros(len(key), np.int64), np.zeros(len(key)))
                 k = int(whose.max()) + 1
                 sums = lambda x: np.bincount(whose, x * times, minlength=k)
-                got = {"n_known": sums(found > 0).astype(np.int64), "base": sums(m.base(found)), "score": sums(m.unigram(found))} if kind == 1 else {"n_known": 0, "base": 0.0, "score": sums(m.gain(key, found))}
+                if kind == 1:  # what comes after a rare word has it as its history
+                    got = {"n_known": sums(hit).astype(np.int64), "base": sums(m.base(found)), "score": sums(m.unigram(found) + more)}
+                else:
+                    got = {"n_known": 0, "base": 0.0, "score": sums(m.gain(key, found) if kind == 2 else more)}
                 part = pd.DataFrame({"first": r.first + np.arange(k), "doc_id": None, "held_out": None, "n_tokens": 0, **got})
                 out.append(part[np.bincount(whose, minlength=k) > 0])
+        if len(out) > 1:  # one row a text
+            _trim()
+            sums = pd.concat(out[1:], ignore_index=True).groupby("first", as_index=False)[["n_tokens", "n_known", "base", "score"]].sum()
+            out[1:] = [sums.assign(doc_id=None, held_out=None)[out[0].columns]]
         return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
     asked = rows.mapInPandas(ask, _ASKED)
-    tables = unigrams.where(F.col("c") < F.lit(FLOOR * model.n)).select(F.lit(1).alias("kind"), "key", "c").unionByName(bigrams.select(F.lit(2).alias("kind"), "key", "c"))
+    tables = rare.select(F.lit(1).alias("kind"), "key", "c", "x").unionByName(bigrams)
     tables = tables.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
     got = asked.groupBy("part").cogroup(tables.groupBy("part")).applyInPandas(answer, answered)
     total = got.groupBy("first").agg(F.max("doc_id").cast("long").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-def score_corpus(docs: DataFrame, held_out: Column, floor: float = FLOOR) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: Column, floor: float = 0.0) -> DataFrame:
     """Learn from the rows that aren't held out, score all."""
     return score(docs, *learn(docs, ~held_out, floor), held_out)

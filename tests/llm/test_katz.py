@@ -77,8 +77,38 @@ def test_scores(spark, monkeypatch, floor, chunk):
         assert abs(sum(plain.p(w, h) for w in plain.c) + plain.a.get(h, 1.0) * plain.unknown - 1) < 1e-9
 
 
+@pytest.mark.parametrize("share,chunk", [(0.004, 100), (0.03, 1 << 21), (0.9, 1 << 21)])
+def test_rare_words_have_bigrams(spark, monkeypatch, share, chunk):
+    """What is broadcast changes no result."""
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(katz, "FLOOR", share)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+    plain = Plain([t for d, t in rows if not out(d)], 0)
+    assert any(plain.c[w] < share * plain.n for p in plain.b for w in p if w != "<start>")
+    key = lambda r: (r[0] is None, r[0], r[1])
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.score) for r in katz.score_corpus(docs, held_out(F.col("doc_id"), 1)).collect()), key=key)
+    want = sorted(((d, len(w), sum(plain.c[x] > 0 for x in w), sum(math.log10(plain.p(x, h)) for h, x in zip(["<start>", *w], w))) for d, t in rows for w in [words(t)]), key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:3] == w[:3] and np.allclose(g[3], w[3], rtol=1e-9), (g, w)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in katz.score_corpus(docs, F.lit(True)).collect()}
     assert got[1].train_tokens == 0 and got[1].n_tokens == 3 and got[1].score == 0 and got[1].base_score == 0
     assert katz.score_corpus(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_words_under_a_millionth_have_bigrams(spark):
+    rows = [(i, "a " * 100_000) for i in range(12)] + [(20 + i, f"x{i} y{i} a") for i in range(30)] + [(99, "x3 y3 y4 a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = Plain([t for d, t in rows if d != 99], 0)
+    assert plain.c["x3"] < 1e-6 * plain.n and plain.b["x3", "y3"]
+    got = {r.doc_id: r.score for r in katz.score_corpus(docs, F.col("doc_id") == 99).collect()}
+    for d, t in rows:
+        if d >= 20:
+            w = words(t)
+            assert np.isclose(got[d], sum(math.log10(plain.p(x, h)) for h, x in zip(["<start>", *w], w)), rtol=1e-9), d
