@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case.  Fixed masks over SPAN words ignore some
-places; the hash of the places that count is looked up, for every window of every document, among the same hashes of
-the benchmark.  At a hit the item is laid over the document, and the overlap is verified: some window of the item of
-WINDOW words (the whole item if it is shorter) that contains the hit must equal the document in TOLERANCE of its
-places, so substituted words don't hide a passage.  An item of fewer than SPAN words is looked up by all its words.
+Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case.  A document and an item overlap where, the item
+laid over the document, some window of the item of WINDOW words (the whole item if it is shorter) equals the document
+in TOLERANCE of its places, so substituted words don't hide a passage.  The places of a window are split into groups,
+and masks ignore some groups each; the hash of the places that count is looked up, for every window of every document,
+among the same hashes of the benchmark, and the overlap is verified at a hit.  There is a mask for every choice of as
+many groups as TOLERANCE allows substitutions, so whatever places those are at, some mask ignores them all.
 
 The benchmark goes to the tasks in blocks of at most ``block_items`` items and BLOCK_BYTES of text, each against all
 documents, so what is sent is bounded whatever its size.
@@ -16,6 +17,7 @@ give no overlaps; other columns of the documents pass through ``decontaminate``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,12 +28,10 @@ from pyspark.sql.types import BooleanType
 
 from evidentia.llm.common import text_of
 
-SPAN, WINDOW, TOLERANCE = 12, 13, 0.8
-#: 1: the word counts, 0: it is ignored.  Any two substitutions in a window leave one of them whole, or a neighbouring window.
-MASKS = ("111111110000", "000011111111", "111100001111", "110110110110", "011011011011", "101101101101")
+WINDOW, TOLERANCE = 13, 0.8
 BLOCK_ITEMS, BLOCK_BYTES, CHUNK_WORDS = 50_000, 16 << 20, 1 << 20
 _CLEAN = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256))
-_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) * (k + 3) | 1) & (1 << 64) - 1 for k in range(SPAN)], np.uint64)
+_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) * (k + 3) | 1) & (1 << 64) - 1 for k in range(WINDOW)], np.uint64)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -45,15 +45,33 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _window_hash(h: np.ndarray, places: list[int], salt: int) -> np.ndarray:
-    """Hash of the given places of every window that starts in h; windows reach to the last place."""
-    n = len(h) - places[-1]
-    out = np.full(n, salt, np.uint64)
-    for k in places:
-        out ^= out >> np.uint64(29)
-        out += h[k : k + n] * _FACTORS[k]
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(32)
+def design(n: int) -> tuple[list[list[int]], list[tuple[int, ...]]]:
+    """Groups of the places of n words, and the groups that count in each mask."""
+    wrong = max(s for s in range(n) if n - s >= TOLERANCE * n)
+    # more groups make longer seeds and more tables
+    count = 1 if wrong == 0 else min(n, wrong + (2 if n == WINDOW else 3))
+    groups = [g.tolist() for g in np.array_split(np.arange(n), count)]
+    return groups, list(itertools.combinations(range(count), count - wrong))
+
+
+def _seeds(h: np.ndarray, n: int, groups: list[list[int]], masks: list[tuple[int, ...]]) -> Iterator[np.ndarray]:
+    """Hashes of all windows of n words in h, for one mask after another."""
+    m = len(h) - n + 1
+    parts = []
+    for places in groups:
+        out = np.zeros(m, np.uint64)
+        for k in places:
+            out ^= out >> np.uint64(29)
+            out += h[k : k + m] * _FACTORS[k]
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+        parts.append(out)
+    for salt, mask in enumerate(masks):
+        out = np.full(m, n << 8 | salt, np.uint64)
+        for g in mask:
+            out ^= out >> np.uint64(29)
+            out += parts[g]
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+        yield out ^ out >> np.uint64(32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -68,25 +86,23 @@ class SeedIndex:
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items = [(i, _mix(_hashes(w))) for i, t in items if (w := split_words(t))]
-        self.seeds = [[k for k, c in enumerate(m) if c == "1"] for m in MASKS]
-        lengths = sorted({len(h) for _, h in self.items if len(h) < SPAN})
-        # (places, length of the item, 0 for items of SPAN words and more)
-        self.probes = [(p, 0) for p in self.seeds if any(len(h) >= SPAN for _, h in self.items)] + [(list(range(n)), n) for n in lengths]
-        self.tables = []
-        for salt, (places, n) in enumerate(self.probes):
-            keys, whose, at = [], [], []
-            for k, (_, h) in enumerate(self.items):
-                if (len(h) == n) if n else len(h) >= SPAN:
-                    w = _window_hash(h, places, salt)[: len(h) - SPAN + 1] if not n else _window_hash(h, places, salt)
-                    keys.append(w)
-                    whose.append(np.full(len(w), k))
-                    at.append(np.arange(len(w)))
-            keys, whose, at = np.concatenate(keys), np.concatenate(whose), np.concatenate(at)
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            seen = np.zeros(1 << self.bits, bool)
-            seen[(keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-            self.tables.append((seen, keys, whose[order], at[order]))
+        # (words of a window, groups, masks, a table for each mask); shorter items are looked up whole
+        self.probes = []
+        for n in sorted({min(len(h), WINDOW) for _, h in self.items}):
+            groups, masks = design(n)
+            mine = [k for k, (_, h) in enumerate(self.items) if min(len(h), WINDOW) == n]
+            windows = [len(self.items[k][1]) - n + 1 for k in mine]
+            whose, at = np.repeat(mine, windows), np.concatenate([np.arange(w) for w in windows])
+            hashes = [list(_seeds(self.items[k][1], n, groups, masks)) for k in mine]
+            tables = []
+            for m in range(len(masks)):
+                keys = np.concatenate([x[m] for x in hashes])
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                seen = np.zeros(1 << self.bits, bool)
+                seen[(keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+                tables.append((seen, keys, whose[order], at[order]))
+            self.probes.append((n, groups, masks, tables))
 
     def overlaps(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, equal words, first word in the document) of verified overlaps; bounds: where the documents begin, and the end."""
@@ -94,36 +110,27 @@ class SeedIndex:
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         best: dict[tuple[int, int], tuple[int, int]] = {}
         done = set()
-        for salt, ((places, n), (seen, keys, whose, at)) in enumerate(zip(self.probes, self.tables)):
-            span = n or SPAN
-            if len(h) < span:
+        for n, groups, masks, tables in self.probes:
+            if len(h) < n:
                 continue
-            w = _window_hash(h, places, salt)[: len(h) - span + 1]
-            near = np.flatnonzero(seen[(w >> np.uint64(64 - self.bits)).astype(np.int64)])
-            near = near[doc[near] == doc[near + span - 1]]
-            lo, hi = np.searchsorted(keys, w[near], "left"), np.searchsorted(keys, w[near], "right")
-            for i, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                for x in range(a, b):
-                    item, j = int(whose[x]), int(at[x])
-                    d, shift = int(doc[i]), i - j
-                    if (d, item, shift, j) in done:
-                        continue
-                    done.add((d, item, shift, j))
-                    mine = self.items[item][1]
-                    first, last = max(0, int(bounds[d]) - shift), min(len(mine), int(bounds[d + 1]) - shift)
-                    same = mine[first:last] == h[shift + first : shift + last]
-                    size = min(WINDOW, len(mine))
-                    if len(same) < size:
-                        continue
-                    sums = np.concatenate([[0], np.cumsum(same)])
-                    s0 = max(0, j - first + span - size)
-                    s1 = min(len(same) - size, j - first)
-                    if s1 < s0:
-                        s0, s1 = max(0, min(s0, len(same) - size)), max(0, min(j - first, len(same) - size))
-                    most = int(max(sums[s + size] - sums[s] for s in range(min(s0, s1), max(s0, s1) + 1)))
-                    if most >= TOLERANCE * size:
-                        got = (int(same.sum()), -(shift + first - int(bounds[d])))
-                        best[d, item] = max(best.get((d, item), got), got)
+            for w, (seen, keys, whose, at) in zip(_seeds(h, n, groups, masks), tables):
+                near = np.flatnonzero(seen[(w >> np.uint64(64 - self.bits)).astype(np.int64)])
+                near = near[doc[near] == doc[near + n - 1]]
+                lo, hi = np.searchsorted(keys, w[near], "left"), np.searchsorted(keys, w[near], "right")
+                for i, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                    for x in range(a, b):
+                        item, shift = int(whose[x]), i - int(at[x])
+                        d = int(doc[i])
+                        if (d, item, shift) in done:
+                            continue
+                        done.add((d, item, shift))
+                        mine = self.items[item][1]
+                        first, last = max(0, int(bounds[d]) - shift), min(len(mine), int(bounds[d + 1]) - shift)
+                        same = mine[first:last] == h[shift + first : shift + last]
+                        sums = np.concatenate([[0], np.cumsum(same)])
+                        if (sums[n:] - sums[:-n]).max() >= TOLERANCE * n:
+                            got = (int(same.sum()), -(shift + first - int(bounds[d])))
+                            best[d, item] = max(best.get((d, item), got), got)
         for (d, item), (equal, minus) in sorted(best.items()):
             yield d, item, equal, -minus
 

@@ -1,6 +1,7 @@
 """WARC, decontamination and the classifier."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -74,6 +75,27 @@ def test_overlaps(spark):
     assert decontaminate.overlaps(table, bench.limit(0)).count() == 0 and decontaminate.decontaminate(table.limit(0), bench).count() == 0
 
 
+def brute(item, doc):
+    """Whether some window of the item, at some place of the document, has four fifths of its words."""
+    n = min(13, len(item))
+    return any(5 * sum(a == b for a, b in zip(item[j : j + n], doc[i : i + n])) >= 4 * n for j in range(len(item) - n + 1) for i in range(len(doc) - n + 1))
+
+
+def test_no_substitutions_hide_a_passage():
+    wanted = 0
+    for n in [*range(1, 19), 20, 30, 60, 200]:
+        item = [f"w{i}" for i in range(n)]
+        index = decontaminate.SeedIndex([(1, " ".join(item))])
+        places = [p for k in range(min(4, n + 1)) for p in itertools.combinations(range(n), k)] if n < 19 else []
+        places += [range(phase, n, k) for k in (2, 3, 4, 5, 6, 7) for phase in range(k)]
+        docs = [["a", "b"] + ["other" if i in p else w for i, w in enumerate(item)] + ["c"] for p in map(set, places)]
+        got = {d for d, *_ in decontaminate._found(index, [" ".join(d) for d in docs])}
+        want = {k for k, d in enumerate(docs) if brute(item, d)}
+        assert got == want, (n, [places[k] for k in sorted(got ^ want)][:5])
+        wanted += len(want)
+    assert wanted > 1000
+
+
 def test_classifier(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.collect()}
