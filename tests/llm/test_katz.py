@@ -95,6 +95,17 @@ def test_rare_words_have_bigrams(spark, monkeypatch, share, chunk):
         assert g[:3] == w[:3] and np.allclose(g[3], w[3], rtol=1e-9), (g, w)
 
 
+def test_floor_above_the_shared_words(spark):
+    """score() splits the words where learn() did, whatever FLOOR is."""
+    rows = [r for r in corpus() if r[0] is not None]
+    out = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    plain = Plain([t for d, t in rows if not out(d)], 0.03)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in katz.score_corpus(docs, held_out(F.col("doc_id"), 1), 0.03).collect())
+    want = sorted((d, sum(plain.c[x] > 0 for x in words(t)), round(sum(math.log10(plain.p(x, h)) for h, x in zip(["<start>", *words(t)], words(t))), 6)) for d, t in rows)
+    assert got == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in katz.score_corpus(docs, F.lit(True)).collect()}
