@@ -21,9 +21,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return token_binary.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return token_binary.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Token-ID output: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-Documents are range-partitioned and sorted by doc_id (nulls first), encoded once, and kept as blocks.  Token counts
-over all blocks rank the ids (ties: the smaller id first), so that frequent ids take one byte.  Each block becomes a
-file: a header, the documents' ids and lengths, the control bytes (two bits a token: bytes less one, four tokens a
-byte) and the data bytes (little-endian ranks).  Decoding takes the four lengths of a control byte from a table.
+Documents are range-partitioned and sorted by doc_id (nulls first; rows of one doc_id by a hash of the text), encoded
+once, and kept as blocks.  Token counts over all blocks rank the ids (ties: the smaller id first), so that frequent ids
+take one byte.  Each block becomes a file: a header, the documents' ids and lengths, the control bytes (two bits a
+token: bytes less one, four tokens a byte) and the data bytes (little-endian ranks).  Decoding takes the four lengths of
+a control byte from a table.
 
 Defined results: null and empty texts hold the end id alone; repeated rows are documents of their own, next to each
-other; an empty table gives no file and no rows.  A file that a repeated task writes again is the same.
+other; a very long text is whole, in a block that ends after it; other columns, whatever their names, are not read; an
+empty table gives no file and no rows.  A file that a repeated task writes again is the same.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,92 +30,93 @@ from evidentia.llm.files import read_whole, write_whole
 
 MAGIC = b"EVTOK1\0\0"
 BLOCK_TOKENS = 1 << 21
-#: Pieces that a worker remembers before it starts anew; those of the time before stay at hand.
-CACHE_PIECES = 300_000
+#: Chunks that a worker remembers before it starts anew; those of the time before stay at hand.
+CACHE_CHUNKS = 600_000
+#: Texts whose new chunks are encoded together, and how many chunks at a time.
+BATCH_TEXTS, STRUNG = 256, 4096
 #: Lengths of the four tokens of each control byte, and how many bytes they take.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
-class PieceEncoder:
+class ChunkEncoder:
     """ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    A byte-level BPE never merges over the borders of its pre-tokens, so each distinct pre-token is encoded once.  Where
-    the file's ids rise with its merges, a rank-based encoder of the same vocabulary takes the pre-tokens, else the library.  Texts with characters whose class may differ between regex engines, or with a special token's
-    string, go to the library whole."""
+    The library's pre-tokens begin anew at every space before a character that isn't white space, and a byte-level BPE
+    never merges over their borders.  So a text is cut at its spaces, and the library encodes each distinct chunk once,
+    many of them strung together: the tokens that begin with a space say where the chunks do.  The library takes whole
+    the texts with a space before white space or at the end, with characters that may not be what they seem to the
+    pattern of ``odd``, or with a special token's string."""
 
     #: Latin, Greek and Cyrillic letters, marks, general punctuation and currency, without U+001C..1F and U+0085.
     plain = "[^\x00-\x1b\x20-\x84\x86-ȳ̀-ͷЀ-ҁ‐-‧‰-⁞₠-₰]"
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces = regex.compile(pattern)
-        odd = [self.plain, *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]
-        self.odd = re.compile("|".join(odd))
+        self.odd = re.compile("|".join([self.plain, r" (?!\S)", *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]))
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        # Ġ is the byte-level name of the space
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        # a chunk is known by what follows its space
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.ranked = self._ranked(path, pattern)
-
-    @staticmethod
-    def _ranked(path: str, pattern: str):
-        import json
-
-        import tiktoken
-
-        from evidentia.llm.bpe import byte_characters
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        made = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-        vocab, first = model["vocab"], len(model["vocab"]) - len(made)
-        if any(vocab.get(m.replace(" ", "")) != first + i for i, m in enumerate(made)):
-            return None
-        back = {c: i for i, c in enumerate(byte_characters())}
-        ranks = {bytes([back[c] for c in s]): i for s, i in vocab.items()}
-        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def cold(self, pieces: list[str]) -> None:
-        """Encode pieces that are in neither memory."""
-        if self.ranked:
-            for p in pieces:
-                self.known[p] = np.array(self.ranked.encode_ordinary(p), "<u4").tobytes()
-        else:
-            for p, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """ids as little-endian unsigned 32-bit integers."""
-        if self.odd.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found, known = self.pieces.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in found])
-        except KeyError:
-            if len(known) > CACHE_PIECES:
-                self.old, self.known = known, {}
-                known = self.known
-            new = []
-            for p in dict.fromkeys(found):
-                if p not in known:
-                    if p in self.old:
-                        known[p] = self.old[p]
-                    else:
-                        new.append(p)
-            self.cold(new)
-            return b"".join([known[p] for p in found])
-
-
-def _encoder(path: str, pattern: str) -> PieceEncoder:
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _strung(self, chunks: list[str]) -> list[bytes]:
+        raw = self._whole(["".join([" " + c for c in chunks])])[0]
+        at = (4 * np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])).tolist()
+        if len(at) != len(chunks):
+            return self._whole([" " + c for c in chunks])
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)])]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_CHUNKS:
+            self.old, self.known = self.known, {}
+        got = list(map(self.known.get, chunks))
+        missing = [k for k, v in enumerate(got) if v is None]
+        new = []
+        for c in {chunks[k] for k in missing}:
+            if c in self.old:
+                self.known[c] = self.old[c]
+            else:
+                new.append(c)
+        for lo in range(0, len(new), STRUNG):
+            some = new[lo : lo + STRUNG]
+            self.known.update(zip(some, self._strung(some)))
+        for k in missing:
+            got[k] = self.known[chunks[k]]
+        return got
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        odd = [self.odd.search(t) is not None for t in texts]
+        whole = [k for k, o in enumerate(odd) if o]
+        for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
+            out[k] = ids
+        even = [k for k, o in enumerate(odd) if not o]
+        cut = [texts[k].split(" ") for k in even]
+        heads = self._whole([c.pop(0) for c in cut])
+        ids, at = self._chunks(list(chain.from_iterable(cut))), 0
+        for k, head, chunks in zip(even, heads, cut):
+            out[k] = head + b"".join(ids[at : at + len(chunks)])
+            at += len(chunks)
+        return out
+
+
+def _encoder(path: str) -> ChunkEncoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     cache = worker_cache("token_binary")
     if path not in cache:
-        cache[path] = PieceEncoder(path, pattern)
+        cache[path] = ChunkEncoder(path)
     return cache[path]
 
 
@@ -157,11 +161,11 @@ def parse_file(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.
 _BLOCK = "part int, block int, before long, tokens long, doc_ids binary, known binary, counts binary, ids binary"
 
 
-def encode_blocks(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
+def encode_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Blocks of encoded documents in ascending doc_id order; before: tokens of the part before the block."""
 
     def encode(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, end = _encoder(path, pattern), np.array([end_id], "<u4").tobytes()
+        coder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         part, block, before = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         whose: list = []
@@ -179,18 +183,22 @@ def encode_blocks(docs: DataFrame, path: str, pattern: str, end_id: int) -> Data
         small = max(coder.library.get_vocab_size(), end_id + 1) <= 1 << 16
         held = 0
         for f in frames:
-            for doc_id, text in zip(f["doc_id"].tolist(), f["text"].tolist()):
-                ids.append(coder.encode(text) + end)
-                whose.append(doc_id)
-                held += len(ids[-1]) // 4
-                if held >= BLOCK_TOKENS:
-                    yield flush()
-                    held = 0
+            for lo in range(0, len(f), BATCH_TEXTS):
+                some = f.iloc[lo : lo + BATCH_TEXTS]
+                for doc_id, got in zip(some["doc_id"].tolist(), coder.encode(some["text"].tolist())):
+                    ids.append(got + end)
+                    whose.append(doc_id)
+                    held += len(ids[-1]) // 4
+                    if held >= BLOCK_TOKENS:
+                        yield flush()
+                        held = 0
         if ids:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("_k"), text_of().alias("text"))
-    rows = rows.repartitionByRange(spread(docs.sparkSession), F.col("_k").asc_nulls_first()).sortWithinPartitions(F.col("_k").asc_nulls_first(), "text")
+    # the hash deals rows without doc_id, or of one doc_id, out to several tasks
+    order = [F.col("_k").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(spread(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
     return rows.select("doc_id", "text").mapInPandas(encode, _BLOCK)
 
 
@@ -215,9 +223,9 @@ def rank_ids(blocks: DataFrame) -> np.ndarray:
     return got.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int) -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> tuple[DataFrame, np.ndarray]:
     """Encode docs, write the files and ranks.bin under folder; returns a table with the files' paths, and the ids by rank."""
-    blocks = written(encode_blocks(docs, path, pattern, end_id), "token-blocks")
+    blocks = written(encode_blocks(docs, path, end_id), "token-blocks")
     order = rank_ids(blocks)
     write_whole(f"{folder}/ranks.bin", [order.astype("<u4").tobytes()])
     starts, total = {}, 0
@@ -255,6 +263,6 @@ def read_token_files(files: DataFrame, order: np.ndarray) -> DataFrame:
     return dealt.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    files, order = write_token_files(docs, folder or fresh_path(docs.sparkSession, "tokens"), path, pattern, end_id)
+def round_trip(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+    files, order = write_token_files(docs, folder or fresh_path(docs.sparkSession, "tokens"), path, end_id)
     return read_token_files(files, order)
