@@ -1,48 +1,50 @@
 """Language-model scoring: a Katz backoff bigram model with Good-Turing discounts.
 
 Tokens are words, A-Z in lower case, and one end token a text; all training texts are counted.  Unigram counts up to K are
-discounted by Good-Turing, and the mass they leave is that of the unknown word.  All bigrams are counted; their
-counts are discounted alike, and each history's backoff weight is what exactly normalises it.  p(w | h) is the
-discounted bigram where it was seen, else backoff(h) * p(w), and p(w) is the discounted unigram or the unknown word.
-
-Words that make up FLOOR of the training tokens or more (so at most 1/FLOOR, at every corpus size) are frequent and
-known by ids, the others by hashes; this chooses what is broadcast and changes no result.  The tables are partitioned
-by key.  To score, every task sums what bounded arrays tell it (frequent words, their backoff weights, bigrams that
-make up FLOOR of all), and asks the tables' partitions about the rest: rare words with their backoff weights, bigrams
-of frequent words, bigrams with a rare one.  It asks for the distinct keys of some thousand texts with the texts they
-are from, so that a hot key is one entry a task.
-
-Defined results: null and empty texts are one end token; repeated rows are counted and scored each; a null doc_id
-counts as '' in the split; without training texts every token is the unknown word of probability 1 and the base score is 0; an empty table gives no rows.
+discounted by Good-Turing, and the mass they leave is that of the unknown word.  All bigrams are counted; their counts
+are discounted alike, and each history's backoff weight is what exactly normalises it.  p(w | h) is the discounted bigram
+where it was seen, else backoff(h) * p(w), and p(w) is the discounted unigram or the unknown word.
+
+Texts are tokenised once, into chunks of about CHUNK_TOKENS tokens, which are written: the distinct words' 64-bit hashes, and
+the text as places among them.  The tables of words, bigrams and histories are partitioned by ranges of key hashes, into
+parts of about PART_KEYS keys at every corpus size.  A chunk sends each part its distinct keys of that range (so a hot key is
+one entry a chunk) with their training counts; the part adds them up and answers for each of the keys:
+
+1. words and bigrams: the counts, and for which chunk a bigram is new, so that exactly one chunk counts it for its history;
+2. histories: chunks send the discounted mass and the unigram mass of the bigrams that are theirs, parts answer the weights.
+
+With both answers a chunk evaluates all of its tokens; nothing about single keys is broadcast or reaches the driver.
+
+Defined results: null and empty texts are one end token; very long texts are whole, in one chunk; repeated rows are counted
+and scored each; a null doc_id counts as '' in the split; other columns are not read; without training texts every token is the unknown
+word of probability 1 and the base score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import discard, release, spread, text_of, written
 
-K, FLOOR = 5, 1e-6
+K = 5
+CHUNK_TOKENS, CHUNK_DOCS, PART_KEYS = 1 << 21, 60_000, 1 << 22
 #: No word has a space in it.
-END = xxhash.xxh64_intdigest(b" end")
-#: In the place of the history, where both words are frequent and the other column has the key of their ids.
-BOTH = -1
-BITS = 20
-CHUNK_TOKENS, CHUNK_DOCS = 1 << 21, 60_000
+END, START = b" end", b" start"
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> np.ndarray:
-    words = (text or "").encode().lower().split()
-    words = [*map(xxhash.xxh64_intdigest, words), END]
-    return np.array(words, np.uint64).view(np.int64)
+    """64-bit hashes of a text's tokens."""
+    import xxhash
+
+    words = [*(text or "").encode().lower().split(), END]
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def discounts(n: dict[int, int], k: int = K) -> np.ndarray:
@@ -56,74 +58,34 @@ def discounts(n: dict[int, int], k: int = K) -> np.ndarray:
     return out
 
 
-@dataclass
-class Model:
-    n: int  # training tokens
-    v: int  # distinct ones
-    d1: np.ndarray
-    d2: np.ndarray
-    n1: float  # what unigram counts are divided by
-    unknown: float
-    words: np.ndarray  # frequent words' hashes, sorted; a word's place is its id, and the id after the last is the start
-    counts: np.ndarray
-    least: float  # the least count of a frequent word
-    mixed: bool  # bigrams with a rare word were counted
-    histories: np.ndarray  # by id: what bigram counts are divided by
-    backoff: np.ndarray
-    hot_keys: np.ndarray
-    hot_counts: np.ndarray
-
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        """log10 p of words of count c."""
-        share = self.d1[np.minimum(c, len(self.d1) - 1)] * c / self.n1
-        return np.log10(np.where(c > 0, share, self.unknown))
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
-
-    def gain(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 of a seen bigram's p over its backoff; 0 for unseen ones."""
-        h, w = keys >> BITS, keys & (1 << BITS) - 1
-        p = self.d2[np.minimum(c, len(self.d2) - 1)] * c / self.histories[h]
-        return np.where(c > 0, np.log10(np.where(c > 0, p, 1.0)) - np.log10(self.backoff[h]) - self.unigram(self.counts[w]), 0.0)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Ids of frequent words, -1 for others."""
-        if len(self.words) == 0:
-            return np.full(len(h), -1)
-        at = np.searchsorted(self.words, h)
-        np.minimum(at, len(self.words) - 1, out=at)
-        at[self.words[at] != h] = -1
-        return at
 
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed, bytes of one significance together."""
+    import zstandard
 
-def _histories(x: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
-    """What is before every token; starts: the first tokens of texts."""
-    before = np.empty_like(x)
-    before[1:] = x[:-1]
-    before[starts] = start
-    return before
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _mixed(t: np.ndarray, ids: np.ndarray, before: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Histories and words at some places: ids of frequent words, hashes of others."""
-    h, w = before[at], ids[at]
-    return np.where(h >= 0, h, t[at - 1]), np.where(w >= 0, w, t[at])
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    import zstandard
 
-
-def _pieces(h: np.ndarray, w: np.ndarray, c: np.ndarray, rows: int = 1 << 17) -> Iterator[pd.DataFrame]:
-    for i in range(0, len(c), rows):
-        yield pd.DataFrame({"h": h[i : i + rows], "w": w[i : i + rows], "c": c[i : i + rows]})
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Keys of pairs with a rare word, as _pair_key makes them; h, w: ids of frequent words, hashes of others."""
-    u = w.view(np.uint64)
-    return h ^ (u << np.uint64(BITS) | u >> np.uint64(64 - BITS)).view(np.int64)
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _pair_key(h: str, w: str) -> Column:
-    return F.col(h).bitwiseXOR(F.shiftleft(w, BITS).bitwiseOR(F.shiftrightunsigned(w, 64 - BITS)))
+def _unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, "<u8"), dtype=np.uint64)
 
 
 def _trim() -> None:
@@ -137,253 +99,243 @@ def _trim() -> None:
         libc.malloc_trim(0)
 
 
-def _chunks(frames: Iterable[pd.DataFrame], *columns: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[list]]]:
-    """Tokens of some texts in a row, their numbers, and the other columns' values."""
-    held, sizes, rest, total = [], [], [[] for _ in columns], 0
-    for f in frames:
-        for i, text in enumerate(f["text"]):
-            t = tokens(text)
-            held.append(t)
-            sizes.append(len(t))
-            total += len(t)
-            for r, c in zip(rest, columns):
-                r.append(f[c].iat[i])
-            if total >= CHUNK_TOKENS or len(held) >= CHUNK_DOCS:
-                chunk = [np.concatenate(held), np.array(sizes), rest]
-                held, sizes, rest, total = [], [], [[] for _ in columns], 0
-                yield chunk.pop(0), *chunk
-                _trim()
-    if held:
-        chunk = [np.concatenate(held), np.array(sizes), rest]
-        del held
-        yield chunk.pop(0), *chunk
-    _trim()
-
-
-def _counted(texts: DataFrame) -> DataFrame:
-    """key and c of all words."""
+#: Chunks (kind 0: words, places, sizes, held), questions and answers (kind 1: words, 2: bigrams, 3: histories) are rows of one shape.
+_ROW = "kind int, part int, chunk long, n long, ids array<string>, a binary, b binary, c binary, d binary, sums array<long>"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+WORDS, PAIRS, HISTORIES = 1, 2, 3
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t, _, _ in _chunks(frames):
-            u, c = np.unique(t, return_counts=True)
-            yield pd.DataFrame({"key": u, "c": c})
 
-    return texts.mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    """Rows, the columns that they leave out null."""
+    return pd.DataFrame([(*r, *[None] * (len(_NAMES) - len(r))) for r in rows], columns=_NAMES)
 
 
-def _counted_pairs(texts: DataFrame, model: Model) -> DataFrame:
-    """h, w and c of all pairs, or without those with a rare word (see Model.mixed).  Of two frequent words h is BOTH and w has the key."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
+    """The tokenised texts, some thousand a row."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for t, sizes, _ in _chunks(frames):
-            ids, starts = m.ids(t), np.cumsum(sizes) - sizes
-            before = _histories(ids, starts, len(m.words))
-            both = (before >= 0) & (ids >= 0)
-            h, w = _mixed(t, ids, before, np.flatnonzero(~both)) if m.mixed else (ids[:0], ids[:0])
-            u = before[both] << BITS
-            u |= ids[both]
-            del t, ids, before, both
-            u, c = np.unique(u, return_counts=True)
-            yield from _pieces(np.broadcast_to(BOTH, len(u)), u, c)
-            del u, c
-            _, at, c = np.unique(_pair_hash(h, w), return_index=True, return_counts=True)
-            yield from _pieces(h[at], w[at], c)
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        total = 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal held, total, number
+            ids, out, parts = zip(*held)
+            words, seq = np.unique(np.concatenate(parts), return_inverse=True)
+            sizes = np.array([len(t) for t in parts], "<u4")
+            row = (0, -1, number, total, list(ids), _packed_keys(words), _packed(seq.astype("<u4")), _packed(sizes), _packed(np.array(out, np.uint8)))
+            held, total, number = [], 0, number + 1
+            return _rows([row])
 
-    return texts.mapInPandas(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+        for f in frames:
+            for doc_id, out, text in zip(f["doc_id"].tolist(), f["held_out"].tolist(), f["text"]):
+                held.append((doc_id, out, tokens(text)))
+                total += len(held[-1][2])
+                if total >= CHUNK_TOKENS or len(held) >= CHUNK_DOCS:
+                    yield flush()
+                    _trim()
+        if held:
+            yield flush()
+        _trim()
 
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
+    return written(rows.mapInPandas(run, _ROW), "katz-chunks")
 
-def _share(d: np.ndarray, c: str) -> Column:
-    """The discounted count."""
-    return F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(F.col(c), F.lit(K + 1)).cast("int") + 1) * F.col(c)
 
+class Chunk:
+    """The texts of a row of ``chunks``: words (hashes, then that of the start), seq, before (places of words), text of each token."""
 
-def _with_words(pairs: DataFrame, on: str, frequent: DataFrame, rare: DataFrame) -> DataFrame:
-    """pairs with the columns of their word: those of frequent words are broadcast, so that no task gets all pairs of one."""
-    known = F.col(on).between(0, (1 << BITS) - 1)
-    return pairs.where(known).join(F.broadcast(frequent), on).unionByName(pairs.where(~known).join(rare.hint("shuffle_hash"), on))
+    def __init__(self, row):
+        import xxhash
 
+        self.number, self.ids = row.chunk, list(row.ids)
+        self.words = np.append(_unpacked_keys(row.a), np.uint64(xxhash.xxh64_intdigest(START)))
+        self.start = len(self.words) - 1
+        self.end = int(np.searchsorted(self.words[:-1], np.uint64(xxhash.xxh64_intdigest(END))))
+        self.seq = _unpacked(row.b, "<u4").astype(np.int64)
+        self.sizes = _unpacked(row.c, "<u4").astype(np.int64)
+        self.held = _unpacked(row.d, "u1").astype(bool)
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.before = np.empty_like(self.seq)
+        self.before[1:] = self.seq[:-1]
+        self.before[np.cumsum(self.sizes) - self.sizes] = self.start
+        self.codes = self.before * len(self.words) + self.seq
 
-def _counts_of_counts(table: DataFrame) -> dict[int, int]:
-    return {r["c"]: r["m"] for r in table.where(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("m")).collect()}
+    def halves(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return codes // len(self.words), codes % len(self.words)
 
+    def pair_keys(self, codes: np.ndarray) -> np.ndarray:
+        h, w = self.halves(codes)
+        return _mix((_mix(self.words) * _FACTOR)[h] + self.words[w])
 
-def learn(docs: DataFrame, trained: Column, floor: float = 0.0) -> tuple[Model, DataFrame, DataFrame]:
-    """The model's arrays, and the tables of rare words (key, c, x: log10 of the backoff weight) and of bigrams (kind 2: of
-    frequent words, kind 3: with a rare one; key, c of the former, x: gain of the latter).  With a floor, words below that share have no bigrams."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    texts = docs.where(trained).select(text_of().alias("text"))
-    unigrams = written(_counted(texts), "unigrams")
-    total = unigrams.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("key") == F.lit(int(np.uint64(END).astype(np.int64))), F.col("c"))).alias("docs")).first()
-    n, v, n_docs = total["n"] or 0, total["v"], total["docs"] or 0
-    m = _counts_of_counts(unigrams)
-    d1 = discounts(m)
-    left = sum(m.get(r, 0) * r * (1 - d1[r]) for r in range(1, K + 1))
-    n1, unknown = (n, left / n) if left > 0 else (n + 1, 1 / (n + 1))
-    least = (floor or FLOOR) * n
-    frequent = unigrams.where(F.col("c") >= F.lit(least)).toPandas().sort_values("key")
-    words, counts = frequent["key"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
-    model = Model(n, v, d1, np.ones(K + 2), float(n1), unknown, words, counts, least, not floor and least > 1, np.append(counts, n_docs).astype(float), np.ones(len(words) + 1), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    pairs = written(_counted_pairs(texts, model), "pairs")
-    release(spark)
-    model.d2 = discounts(_counts_of_counts(pairs))
-    bigrams = pairs.where(F.col("h") == BOTH).select(F.col("w").alias("key"), "c")
-    seen = sc.broadcast(model)
+    def histories(self) -> np.ndarray:
+        """Places of the words that come before others."""
+        some = np.zeros(len(self.words), bool)
+        some[self.before] = True
+        return np.flatnonzero(some)
 
-    def sums(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = seen.value
-        high, low = np.zeros(len(got.backoff)), np.zeros(len(got.backoff))
-        for f in frames:
-            key, c = f["key"].to_numpy(), f["c"].to_numpy()
-            h, w = key >> BITS, key & (1 << BITS) - 1
-            np.add.at(high, h, got.d2[np.minimum(c, K + 1)] * c)
-            np.add.at(low, h, 10 ** got.unigram(got.counts[w]))
-        some = np.flatnonzero(high)
-        yield pd.DataFrame({"h": some, "high": high[some], "low": low[some]})
-
-    rare = unigrams.where(F.col("c") < F.lit(least))
-    if model.mixed:
-        ids = spark.createDataFrame(pd.DataFrame({"w": np.arange(len(words)), "of_w": counts}), "w long, of_w long")
-        mixed = _with_words(pairs.where(F.col("h") != BOTH), "w", ids, rare.select(F.col("key").alias("w"), F.col("c").alias("of_w")))
-        mixed = written(mixed.select("h", _pair_key("h", "w").alias("key"), "c", (_share(d1, "of_w") / F.lit(model.n1)).alias("p")), "mixed")
-        bigrams = written(bigrams, "bigrams")
-        discard(pairs)
-        release(spark)
-        mixed_sums = mixed.groupBy("h").agg(F.sum(_share(model.d2, "c")).alias("high"), F.sum("p").alias("low"))
-        known = F.col("h").between(0, (1 << BITS) - 1)
-    each = bigrams.mapInPandas(sums, "h long, high double, low double")
-    if model.mixed:
-        each = each.unionByName(mixed_sums.where(known))
-    each = each.groupBy("h").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).toPandas()
-    h, high, low = each["h"].to_numpy(np.int64), each["high"].to_numpy(float), each["low"].to_numpy(float)
-    # a history that leaves no mass gets one count more
-    full = high >= model.histories[h] * (1 - 1e-12)
-    model.histories[h[full]] += 1
-    model.backoff[h] = (1 - high / model.histories[h]) / (1 - low)
-    hot = bigrams.where(F.col("c") >= F.lit(max(least, 1))).toPandas().sort_values("key")
-    model.hot_keys, model.hot_counts = hot["key"].to_numpy(np.int64), hot["c"].to_numpy(np.int64)
-    table = bigrams.select(F.lit(2).alias("kind"), "key", "c", F.lit(0.0).alias("x"))
-    if not model.mixed:
-        return model, rare.select("key", "c", F.lit(0.0).alias("x")), table
-    of = mixed_sums.where(~known).join(rare.select(F.col("key").alias("h"), F.col("c").alias("n")), "h")
-    of = of.withColumn("n", F.col("n") + (F.col("high") >= F.col("n") * (1 - 1e-12)).cast("int"))
-    of = written(of.select("h", F.col("n").cast("double").alias("n"), F.log10((1 - F.col("high") / F.col("n")) / (1 - F.col("low"))).alias("x")), "histories")
-    ids = spark.createDataFrame(pd.DataFrame({"h": np.arange(len(words) + 1), "n": model.histories, "x": np.log10(model.backoff)}), "h long, n double, x double")
-    gain = F.log10(_share(model.d2, "c") / F.col("n")) - F.col("x") - F.log10("p")
-    gains = written(_with_words(mixed, "h", ids, of).select(F.lit(3).alias("kind"), "key", F.lit(1).cast("long").alias("c"), gain.alias("x")), "gains")
-    discard(mixed)
-    release(spark)
-    rare = rare.join(of.select(F.col("h").alias("key"), "x"), "key", "left")
-    return model, rare.select("key", "c", F.coalesce("x", F.lit(0.0)).alias("x")), table.unionByName(gains)
 
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the parts of sorted keys begin, and the end: part p has the keys whose upper half is in the p-th of equal ranges."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes by significance, so that the zeros of small numbers lie together and compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
+def _asked(kind: int, chunk: int, parts: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """A row for each part: its keys, ascending, and what is sent with them."""
+    order = np.argsort(keys, kind="stable")
+    keys, columns = keys[order], [c[order] for c in columns]
+    cuts = _cuts(keys, parts)
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = slice(cuts[p], cuts[p + 1])
+        yield (kind, p, chunk, 0, None, _packed_keys(keys[mine]), *[_packed(c[mine]) for c in columns])
+
+
+def _answered(answers: pd.DataFrame, kind: int, keys: np.ndarray, *kinds: str) -> list[np.ndarray]:
+    """What the parts answered for keys, in the order of keys."""
+    mine = answers[answers["kind"] == kind].sort_values("part")
+    order = np.argsort(keys, kind="stable")
+    out = []
+    for name, k in zip("abcd", kinds):
+        values = np.concatenate([np.zeros(0, k), *[_unpacked(raw, k) for raw in mine[name]]])
+        placed = np.empty_like(values)
+        placed[order] = values
+        out.append(placed)
+    return out
 
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
+def _questions(table: DataFrame, parts: int) -> DataFrame:
+    """Distinct words and bigrams of each chunk, with their training counts."""
 
-def _prime(n: int) -> int:
-    while any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                c = Chunk(row)
+                trained = ~c.held[c.text]
+                yield _rows([*_asked(WORDS, c.number, parts, c.words[:-1], np.bincount(c.seq[trained], minlength=c.start))])
+                codes = np.unique(c.codes)
+                seen, times = np.unique(c.codes[trained], return_counts=True)
+                counts = np.zeros(len(codes), np.int64)
+                counts[np.searchsorted(codes, seen)] = times
+                keys = c.pair_keys(codes)
+                del trained, codes, seen, times
+                yield _rows([*_asked(PAIRS, c.number, parts, keys, counts)])
+                del c, keys, counts
+                _trim()
 
+    return table.mapInPandas(run, _ROW)
+
+
+def _count(asked: pd.DataFrame) -> pd.DataFrame:
+    """Counts of the keys of a part for each of its askers, doubled, plus 1 for the first asker; and a row of sums: tokens, keys, counts of counts."""
+    asked = asked.sort_values("chunk")
+    keys = [_unpacked_keys(raw) for raw in asked["a"]]
+    ends = np.cumsum([len(k) for k in keys])
+    _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    c = np.bincount(at, weights=np.concatenate([_unpacked(raw, "<i8") for raw in asked["b"]])).astype(np.int64)
+    values = c[at] * 2
+    values[first] += 1
+    kind, part = int(asked["kind"].iloc[0]), int(asked["part"].iloc[0])
+    rows = [(kind, part, chunk, 0, None, _packed(values[e - len(k) : e])) for chunk, k, e in zip(asked["chunk"].tolist(), keys, ends.tolist())]
+    sums = [int(c.sum()), int((c > 0).sum()), *[int((c == r).sum()) for r in range(1, K + 2)]]
+    return _rows([*rows, (kind, part, -1, 0, None, None, None, None, None, sums)])
+
+
+def _weigh(asked: pd.DataFrame) -> pd.DataFrame:
+    """Backoff weights (log10) of the histories of a part, and what their bigrams' counts are divided by, for each asker."""
+    asked = asked.sort_values("chunk")
+    keys = [_unpacked_keys(raw) for raw in asked["a"]]
+    ends = np.cumsum([len(k) for k in keys])
+    _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    sent = [np.concatenate([_unpacked(raw, "<f8") for raw in asked[name]]) for name in "bcd"]
+    n, high, low = sent[0][first], np.bincount(at, weights=sent[1]), np.bincount(at, weights=sent[2])
+    # a history that leaves no mass gets one count more
+    n = n + (high >= n * (1 - 1e-12))
+    x = np.log10((1 - high / n) / (1 - low))
+    kind, part = int(asked["kind"].iloc[0]), int(asked["part"].iloc[0])
+    cuts = [(chunk, slice(e - len(k), e)) for chunk, k, e in zip(asked["chunk"].tolist(), keys, ends.tolist())]
+    return _rows([(kind, part, chunk, 0, None, _packed(x[at[mine]]), _packed(n[at[mine]])) for chunk, mine in cuts])
 
-_ASKED = "part int, kind int, first long, keys binary, texts binary, times binary, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double"
 
+class Katz:
+    """What all tokens need of the model: discounts, tokens, distinct words, the unknown word."""
 
-def _ask(part_of, kind: int, first: int, keys: np.ndarray, text: np.ndarray, parts: int) -> Iterator[tuple]:
-    """A row for each partition: keys (as differences), the texts they are from and how often."""
-    u, inv = np.unique(keys, return_inverse=True)
-    pair, times = np.unique(inv * np.int64(CHUNK_DOCS) + text, return_counts=True)
-    key, whose = u[pair // CHUNK_DOCS], (pair % CHUNK_DOCS).astype("<u2")
-    part = part_of(key, parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        mine = order[cuts[p] : cuts[p + 1]]
-        k = key[mine]
-        yield (p, kind, first, _planes(np.diff(k, prepend=np.int64(0)).astype("<i8")), _planes(whose[mine]), _planes(times[mine].astype("<u4")), None, None, None, None, None, None)
+    def __init__(self, words: list[int], pairs: list[int]):
+        of = lambda m: {r: c for r, c in enumerate(m[2:], 1)}
+        self.n, self.v = words[:2]
+        m = of(words)
+        self.d1, self.d2 = discounts(m), discounts(of(pairs))
+        left = sum(m[r] * r * (1 - self.d1[r]) for r in range(1, K + 1))
+        self.n1, self.unknown = (float(self.n), left / self.n) if left > 0 else (self.n + 1.0, 1 / (self.n + 1))
 
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.d1[np.minimum(c, K + 1)] * c / self.n1, self.unknown)
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, bigrams: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    parts = _prime(max(2, spread(spark)))
-    shared = spark.sparkContext.broadcast(model)
-    part_of = lambda key, n: np.mod(key, n)  # noqa: E731  as pmod does
-    names = [c.split()[0] for c in _ASKED.split(", ")]
-
-    def ask(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, first = shared.value, TaskContext.get().partitionId() << 33
-        lp, lb, la = m.unigram(m.counts), m.base(m.counts), np.log10(m.backoff)
-        for t, sizes, (doc_ids, held) in _chunks(frames, "doc_id", "held_out"):
-            starts, k = np.cumsum(sizes) - sizes, len(sizes)
-            text = np.repeat(np.arange(k), sizes)
-            ids = m.ids(t)
-            known = ids >= 0
-            before = _histories(ids, starts, len(m.words))
-            keys = np.where((before >= 0) & known, before << BITS | ids, -1)
-            mixed = np.flatnonzero(keys < 0) if m.mixed else np.zeros(0, int)
-            mixed_keys = _pair_hash(*_mixed(t, ids, before, mixed))
-            add = lambda where, what: np.bincount(text[where], what, minlength=k)
-            lp_sum = add(known, lp[ids[known]]) + add(before >= 0, la[before[before >= 0]])
-            pair = np.flatnonzero(keys >= 0)
-            if len(m.hot_keys) and len(pair):
-                at = np.minimum(np.searchsorted(m.hot_keys, keys[pair]), len(m.hot_keys) - 1)
-                hot = m.hot_keys[at] == keys[pair]
-                lp_sum += np.bincount(text[pair[hot]], m.gain(m.hot_keys, m.hot_counts)[at[hot]], minlength=k)
-                pair = pair[~hot]
-            rows = [*_ask(part_of, 1, first, t[~known], text[~known], parts), *_ask(part_of, 2, first, keys[pair], text[pair], parts), *_ask(part_of, 3, first, mixed_keys, text[mixed], parts)]
-            rest = {"doc_id": doc_ids, "held_out": held, "n_tokens": sizes, "n_known": np.bincount(text[known], minlength=k), "base": add(known, lb[ids[known]]), "score": lp_sum}
-            own = pd.DataFrame({"part": (first + np.arange(k)) % parts, "kind": 0, "first": first + np.arange(k), "keys": None, "texts": None, "times": None, **rest})
-            yield own[names]
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-            first += k
-
-    answered = "first long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double"
-
-    def answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        m, out = shared.value, [asked.loc[asked["kind"] == 0, ["first", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]]]
-        for kind in (1, 2, 3):
-            mine = table[table["kind"] == kind].sort_values("key")
-            have, c, x = mine["key"].to_numpy(), mine["c"].to_numpy(), mine["x"].to_numpy()
-            for r in asked[asked["kind"] == kind].itertuples(index=False):
-                key, times = np.cumsum(_from_planes(r.keys, "<i8")), _from_planes(r.times, "<u4")
-                whose = _from_planes(r.texts, "<u2").astype(np.int64)
-                at = np.minimum(np.searchsorted(have, key), max(0, len(have) - 1))
-                hit = have[at] == key if len(have) else np.zeros(len(key), bool)
-                found, more = (np.where(hit, c[at], 0), np.where(hit, x[at], 0.0)) if len(have) else (np.zeros(len(key), np.int64), np.zeros(len(key)))
-                k = int(whose.max()) + 1
-                sums = lambda x: np.bincount(whose, x * times, minlength=k)
-                if kind == 1:  # what comes after a rare word has it as its history
-                    got = {"n_known": sums(hit).astype(np.int64), "base": sums(m.base(found)), "score": sums(m.unigram(found) + more)}
-                else:
-                    got = {"n_known": 0, "base": 0.0, "score": sums(m.gain(key, found) if kind == 2 else more)}
-                part = pd.DataFrame({"first": r.first + np.arange(k), "doc_id": None, "held_out": None, "n_tokens": 0, **got})
-                out.append(part[np.bincount(whose, minlength=k) > 0])
-        if len(out) > 1:  # one row a text
-            _trim()
-            sums = pd.concat(out[1:], ignore_index=True).groupby("first", as_index=False)[["n_tokens", "n_known", "base", "score"]].sum()
-            out[1:] = [sums.assign(doc_id=None, held_out=None)[out[0].columns]]
-        return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
+    def mass(self, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of bigrams."""
+        return self.d2[np.minimum(c, K + 1)] * c
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
-    asked = rows.mapInPandas(ask, _ASKED)
-    tables = rare.select(F.lit(1).alias("kind"), "key", "c", "x").unionByName(bigrams)
-    tables = tables.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
-    got = asked.groupBy("part").cogroup(tables.groupBy("part")).applyInPandas(answer, answered)
-    total = got.groupBy("first").agg(F.max("doc_id").cast("long").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
-def score_corpus(docs: DataFrame, held_out: Column, floor: float = 0.0) -> DataFrame:
-    """Learn from the rows that aren't held out, score all."""
-    return score(docs, *learn(docs, ~held_out, floor), held_out)
+def _with_answers(rows: pd.DataFrame) -> tuple[Chunk, np.ndarray]:
+    """The chunk, and the counts of its words; that of the start is the number of training texts."""
+    c = Chunk(next(rows[rows["kind"] == 0].itertuples(index=False)))
+    counts = _answered(rows, WORDS, c.words[:-1], "<i8")[0] >> 1
+    return c, np.append(counts, counts[c.end])
+
+
+def _masses(rows: pd.DataFrame, model: Katz, parts: int) -> pd.DataFrame:
+    """A chunk's questions about its histories, with the masses of the bigrams that are new with it."""
+    c, counts = _with_answers(rows)
+    codes = np.unique(c.codes)
+    value = _answered(rows, PAIRS, c.pair_keys(codes), "<i8")[0]
+    own = (value & 1 == 1) & (value > 1)
+    h, w = c.halves(codes[own])
+    size = len(c.words)
+    high, low = np.bincount(h, model.mass(value[own] >> 1), size), np.bincount(h, model.unigram(counts)[w], size)
+    at = c.histories()
+    at = at[counts[at] > 0]
+    return _rows([*_asked(HISTORIES, c.number, parts, c.words[at], counts[at].astype(float), high[at], low[at])])
+
+
+_SCORED = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scores(rows: pd.DataFrame, model: Katz) -> pd.DataFrame:
+    """All texts of a chunk: each token by its bigram, else the history's weight and the word, else the unknown word."""
+    c, counts = _with_answers(rows)
+    codes, at = np.unique(c.codes, return_inverse=True)
+    seen = _answered(rows, PAIRS, c.pair_keys(codes), "<i8")[0] >> 1
+    weight, divisor = np.zeros(len(c.words)), np.ones(len(c.words))
+    some = c.histories()
+    some = some[counts[some] > 0]
+    weight[some], divisor[some] = _answered(rows, HISTORIES, c.words[some], "<f8", "<f8")
+    h, w = c.halves(codes)
+    backed = weight[h] + np.log10(model.unigram(counts))[w]
+    p = np.where(seen > 0, np.log10(np.where(seen > 0, model.mass(seen), 1.0) / divisor[h]), backed)
+    add = lambda what: np.bincount(c.text, what, len(c.sizes))
+    return pd.DataFrame({"doc_id": c.ids, "held_out": c.held, "n_tokens": c.sizes, "n_known": add(counts[c.seq] > 0).astype(np.int64), "base_score": add(model.base(counts)[c.seq]), "score": add(p[at])})
+
+
+def score_corpus(docs: DataFrame, held_out: Column) -> DataFrame:
+    """Learn from the rows that aren't held out; doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of all."""
+    spark = docs.sparkSession
+    table = chunks(docs, held_out)
+    total = table.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = max(spread(spark), -(-total // PART_KEYS))
+    counts = written(_questions(table, parts).groupBy("kind", "part").applyInPandas(_count, _ROW), "katz-counts")
+    release(spark)
+    sums = counts.where("chunk = -1").groupBy("kind").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(K + 3)]).alias("s"))
+    sums = {r["kind"]: r["s"] for r in sums.collect()}
+    model = Katz(*[sums.get(kind, [0] * (K + 3)) for kind in (WORDS, PAIRS)])
+    known = table.unionByName(counts.where("chunk >= 0"))
+    masses = known.groupBy("chunk").applyInPandas(lambda rows: _masses(rows, model, parts), _ROW)
+    weights = written(masses.groupBy("kind", "part").applyInPandas(_weigh, _ROW), "katz-weights")
+    release(spark)
+    scored = known.unionByName(weights).groupBy("chunk").applyInPandas(lambda rows: _scores(rows, model), _SCORED)
+    scored = written(scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"), "katz-scores")
+    for used in (table, counts, weights):
+        discard(used)
+    release(spark)
+    return scored

@@ -19,19 +19,18 @@ def words(t):
 
 
 class Plain:
-    def __init__(self, texts, floor):
+    def __init__(self, texts):
         self.c = collections.Counter(w for t in texts for w in words(t))
         self.n, self.v = sum(self.c.values()), len(self.c)
         m = collections.Counter(self.c.values())
         self.d1 = katz.discounts(m)
         left = sum(m[r] * r * (1 - self.d1[r]) for r in range(1, katz.K + 1))
         self.n1, self.unknown = (self.n, left / self.n) if left > 0 else (self.n + 1, 1 / (self.n + 1))
-        self.often = {w for w, c in self.c.items() if c >= floor * self.n} | {"<start>"}
-        self.b = collections.Counter(p for t in texts for p in zip(["<start>", *words(t)], words(t)) if set(p) <= self.often)
+        self.b = collections.Counter(p for t in texts for p in zip(["<start>", *words(t)], words(t)))
         self.d2 = katz.discounts(collections.Counter(self.b.values()))
-        self.h = {w: self.c[w] for w in self.often} | {"<start>": len(texts)}
+        self.h = dict(self.c) | {"<start>": len(texts)}
         self.a = {}
-        for h in self.often:
+        for h in self.h:
             seen = [w for g, w in self.b if g == h]
             if seen:
                 high = sum(self.disc(self.b[h, w]) for w in seen)
@@ -48,6 +47,11 @@ class Plain:
     def p(self, w, h):
         return self.disc(self.b[h, w]) / self.h[h] if self.b[h, w] else self.a.get(h, 1.0) * self.p1(w)
 
+    def row(self, t):
+        w = words(t)
+        base = sum(math.log10((self.c[x] + 0.5) / (self.n + 0.5 * (self.v + 1))) for x in w)
+        return len(w), sum(self.c[x] > 0 for x in w), self.n, base, sum(math.log10(self.p(x, h)) for h, x in zip(["<start>", *w], w))
+
 
 def corpus():
     rnd = random.Random(4)
@@ -55,55 +59,26 @@ def corpus():
     return [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "never seen words"), (None, "w1 w1 w0"), (5, texts[5]), (6, texts[6])]
 
 
-@pytest.mark.parametrize("floor,chunk", [(1e-6, 1 << 21), (0.004, 100)])
-def test_scores(spark, monkeypatch, floor, chunk):
-    monkeypatch.setattr(katz, "CHUNK_TOKENS", chunk)
-    monkeypatch.setattr(katz, "FLOOR", floor)
-    rows = corpus()
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3)
-    out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
-    plain = Plain([t for d, t in rows if not out(d)], floor)
-    got = katz.score_corpus(docs, held_out(F.col("doc_id"), 1), floor).collect()
-    want = []
-    for d, t in rows:
-        w = words(t)
-        base = sum(math.log10((plain.c[x] + 0.5) / (plain.n + 0.5 * (plain.v + 1))) for x in w)
-        want.append((d, out(d), len(w), sum(plain.c[x] > 0 for x in w), plain.n, base, sum(math.log10(plain.p(x, h)) for h, x in zip(["<start>", *w], w))))
-    key = lambda r: (r[0] is None, r[0], r[2])
-    assert len(got) == len(want)
-    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
-        assert g[:5] == w[:5] and np.allclose(g[5:], w[5:], rtol=1e-9), (g, w)
-    for h in [*plain.often, "unheard"]:
-        assert abs(sum(plain.p(w, h) for w in plain.c) + plain.a.get(h, 1.0) * plain.unknown - 1) < 1e-9
+def held(d):
+    return zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
 
 
-@pytest.mark.parametrize("share,chunk", [(0.004, 100), (0.03, 1 << 21), (0.9, 1 << 21)])
-def test_rare_words_have_bigrams(spark, monkeypatch, share, chunk):
-    """What is broadcast changes no result."""
+@pytest.mark.parametrize("chunk,part", [(1 << 21, 1 << 22), (100, 50), (1, 7)])
+def test_scores(spark, monkeypatch, chunk, part):
+    """Null ids and texts, repeated rows, a clashing column; chunks and parts of all sizes."""
     monkeypatch.setattr(katz, "CHUNK_TOKENS", chunk)
-    monkeypatch.setattr(katz, "FLOOR", share)
+    monkeypatch.setattr(katz, "PART_KEYS", part)
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
-    plain = Plain([t for d, t in rows if not out(d)], 0)
-    assert any(plain.c[w] < share * plain.n for p in plain.b for w in p if w != "<start>")
-    key = lambda r: (r[0] is None, r[0], r[1])
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.score) for r in katz.score_corpus(docs, held_out(F.col("doc_id"), 1)).collect()), key=key)
-    want = sorted(((d, len(w), sum(plain.c[x] > 0 for x in w), sum(math.log10(plain.p(x, h)) for h, x in zip(["<start>", *w], w))) for d, t in rows for w in [words(t)]), key=key)
+    docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, score string, kind int").repartition(3)
+    plain = Plain([t for d, t in rows if not held(d)])
+    key = lambda r: (r[0] is None, r[0], r[2], r[5])
+    got = sorted((tuple(r) for r in katz.score_corpus(docs, held_out(F.col("doc_id"), 1)).collect()), key=key)
+    want = sorted(((d, held(d), *plain.row(t)) for d, t in rows), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want):
-        assert g[:3] == w[:3] and np.allclose(g[3], w[3], rtol=1e-9), (g, w)
-
-
-def test_floor_above_the_shared_words(spark):
-    """score() splits the words where learn() did, whatever FLOOR is."""
-    rows = [r for r in corpus() if r[0] is not None]
-    out = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
-    plain = Plain([t for d, t in rows if not out(d)], 0.03)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in katz.score_corpus(docs, held_out(F.col("doc_id"), 1), 0.03).collect())
-    want = sorted((d, sum(plain.c[x] > 0 for x in words(t)), round(sum(math.log10(plain.p(x, h)) for h, x in zip(["<start>", *words(t)], words(t))), 6)) for d, t in rows)
-    assert got == want
+        assert g[:5] == w[:5] and np.allclose(g[5:], w[5:], rtol=1e-9), (g, w)
+    for h in [*plain.h, "unheard"]:
+        assert abs(sum(plain.p(w, h) for w in plain.c) + plain.a.get(h, 1.0) * plain.unknown - 1) < 1e-9
 
 
 def test_empty(spark):
@@ -113,13 +88,13 @@ def test_empty(spark):
     assert katz.score_corpus(docs.limit(0), F.lit(False)).count() == 0
 
 
-def test_words_under_a_millionth_have_bigrams(spark):
-    rows = [(i, "a " * 100_000) for i in range(12)] + [(20 + i, f"x{i} y{i} a") for i in range(30)] + [(99, "x3 y3 y4 a")]
+def test_rare_words_and_long_texts(spark):
+    """Words under a millionth of the tokens have bigrams; a text of a million words is scored whole."""
+    rows = [(i, "a " * (100_000 if i else 1_000_000)) for i in range(4)] + [(20 + i, f"x{i} y{i} a") for i in range(30)] + [(99, "x3 y3 y4 a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    plain = Plain([t for d, t in rows if d != 99], 0)
+    plain = Plain([t for d, t in rows if d != 99])
     assert plain.c["x3"] < 1e-6 * plain.n and plain.b["x3", "y3"]
-    got = {r.doc_id: r.score for r in katz.score_corpus(docs, F.col("doc_id") == 99).collect()}
-    for d, t in rows:
-        if d >= 20:
-            w = words(t)
-            assert np.isclose(got[d], sum(math.log10(plain.p(x, h)) for h, x in zip(["<start>", *w], w)), rtol=1e-9), d
+    got = {r.doc_id: r for r in katz.score_corpus(docs, F.col("doc_id") == 99).collect()}
+    assert got[0].n_tokens == 1_000_001
+    for d, t in rows[4:]:
+        assert np.isclose(got[d].score, plain.row(t)[-1], rtol=1e-9), d
