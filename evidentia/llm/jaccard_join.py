@@ -7,17 +7,20 @@ corners of bounding boxes, the sum for all pairs of two R-tree nodes.
 
 1. Every document becomes a row of a sketch: size, fingerprint of the set, point, and its signature: the first
    n - ceil(0.8 n) + 1 shingles in a fixed order of all shingles.  Documents that link share a shingle of their
-   signatures, so the signature's shingles say which trees a point is in.  The order puts shingles that a bounded
-   sample shows to be common last, which keeps trees small; any order gives the same links.
+   signatures, so the signature's shingles say which trees a point is in.  The order puts shingles that recur among
+   different texts last, which keeps trees small; any order gives the same links.
 2. Documents with equal sets are one class, and only classes go on.
-3. The points under one shingle form an R-tree.  First each point meets one of its possible partners, in the first round
-   the least, in the next ones that with the greatest bound; survivors are verified on the sets, and components formed.
-   Then all surviving pairs that still lie in different components are verified.  So a group of thousands of near
-   copies costs a few pairs for each of its texts, and no link that matters to the components is left out.
+3. In STARS rounds each class is in one tree only, that of a shared shingle of its signature, and meets the leaders of
+   that tree; survivors of the bound are verified on the sets, and components formed.  So thousands of near copies
+   become one component at the cost of one pair each.
+4. Then every shingle's points that aren't all of one component form an R-tree, whose nodes hold few components each;
+   pairs of nodes are descended where their corners' minima allow a link between components, and all surviving pairs of
+   points are verified.  No link that matters to the components is left out.
 
 Defined results: null and wordless texts have no shingles and link with nothing; texts of fewer than five words are
 one shingle; the component of rows is their smallest non-null doc_id (null if all are null); repeated rows are copies; an empty
-table gives no rows; other columns stay in ``deduplicate``, where rows that repeat a doc_id are one document.
+table gives no rows; very long texts are whole, and where a group's count passes 255 it bounds nothing; other columns,
+whatever their names, stay in ``deduplicate``, where rows that repeat a doc_id are one document.
 """
 
 from __future__ import annotations
@@ -29,20 +32,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import discard, release, spread, text_of, written
-from evidentia.llm.components import connected_components
+from evidentia.llm.common import discard, free_name, release, spread, text_of, written
+from evidentia.llm.components import connected_components, with_label
 
-WORDS, GROUPS, LEAF = 5, 256, 64
+WORDS, GROUPS = 5, 256
+#: Children of a node of a tree; node pairs that are expanded together.
+FAN, FRONTIER = 8, 512
 #: The greatest count of a point; it stands for more, too, and bounds nothing.
 FULL = 255
-#: Documents of the sample that finds common shingles, how many of them must hold one, and the longest list of such shingles.
-SAMPLE_DOCS, COMMON, COMMON_MOST = 20_000, 3, 200_000
+#: Shingles are common that COMMON different texts of some COMMON_WINDOW shingles hold; the longest list of such shingles.
+COMMON, COMMON_WINDOW, COMMON_MOST = 8, 1 << 22, 200_000
 #: A class is sketched once a task while the task remembers so many.
 REMEMBERED = 1 << 20
-#: Rounds in which each point meets one partner, before all pairs between components.
-STARS = 3
-#: Bounds are compared in millionths of n + m; from the third round on, pairs gain or lose up to so many by hash, which tries others.
-SCALE, JITTER = 1_000_000, 10_000
+#: Rounds in which each class meets the leaders of one tree, and leaders that a tree has at most, before all pairs between components.
+STARS, LEADERS = 2, 64
+#: Points of a tree beyond which it is split into cells, and the most trees that are.
+HOT, HOT_TREES = 8192, 100_000
 #: Bits of the filter that spares texts without candidates the shuffle.
 FILTER_BITS = 1 << 24
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -113,17 +118,31 @@ def signature(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of COMMON and more of at most about SAMPLE_DOCS documents, sorted; it only sets the order."""
-    n = docs.count()
-    step = -(-n // SAMPLE_DOCS) if n else 1
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(text_of().alias("text"))
+    """Shingles that recur among the different texts of any window, the most frequent of all documents, sorted; it only sets the order."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.int64), *[shingles(t).view(np.int64) for t in f["text"]]])})
+        held: list[np.ndarray] = []
+        total, seen = 0, set()
+
+        def flush() -> pd.DataFrame:
+            nonlocal held, total, seen
+            h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            held, total, seen = [], 0, set()
+            return pd.DataFrame({"h": h[c >= COMMON].view(np.int64), "c": c[c >= COMMON]})
 
-    counts = rows.mapInPandas(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    got = counts.orderBy(F.desc("count"), "h").limit(COMMON_MOST).toPandas()["h"].to_numpy(np.int64)
+        for f in frames:
+            for t in f["text"]:
+                s = shingles(t)
+                if (fp := fingerprint(s)) not in seen:
+                    seen.add(fp)
+                    held.append(s)
+                    total += len(s)
+                if total >= COMMON_WINDOW:
+                    yield flush()
+        yield flush()
+
+    counts = docs.select(text_of().alias("text")).mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    got = counts.orderBy(F.desc("c"), "h").limit(COMMON_MOST).toPandas()["h"].to_numpy(np.int64)
     return np.sort(got.view(np.uint64))
 
 
@@ -197,105 +216,142 @@ def blocks(sketched: DataFrame) -> DataFrame:
     return written(rows.mapInPandas(shared, "h long, fp long"), "blocks")
 
 
+def _fits(overlap: np.ndarray, total: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Whether an overlap of at most so much allows a similarity of 0.8 at that sum of sizes: 9 * overlap >= 4 * (n + m)."""
+    return (9 * overlap >= 4 * total) | full
+
+
 class RTree:
-    """Points packed by size, then by their widest coordinate, into leaves with bounding boxes."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.argsort(sizes, kind="stable")
-        tile = LEAF * max(1, int(np.sqrt(len(order) / LEAF)))
-        parts = []
-        for i in range(0, len(order), tile):
-            part = order[i : i + tile]
-            wide = int(np.argmax(np.ptp(points[part], axis=0)))
-            part = part[np.argsort(points[part, wide], kind="stable")]
-            parts += [part[j : j + LEAF] for j in range(0, len(part), LEAF)]
-        self.leaves = parts
-        self.points, self.sizes = points, sizes
-        self.full = (points == FULL).any(axis=1)
-        self.top = np.array([points[p].max(axis=0) for p in parts])
-        self.least = np.array([sizes[p].min() for p in parts])
-        self.most = np.array([sizes[p].max() for p in parts])
-
-    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs of points (in blocks), and their bounds, whose coordinate minima allow a similarity of 0.8: 9 * overlap >= 4 * (n + m)."""
-        for i, own in enumerate(self.leaves):
-            bound = np.minimum(self.top[i], self.top[i:]).sum(axis=1, dtype=np.int64)
-            full = (self.top[i] == FULL).any() | (self.top[i:] == FULL).any(axis=1)
-            fit = ((9 * bound >= 4 * (self.least[i] + self.least[i:])) | full) & (5 * self.most[i] >= 4 * self.least[i:]) & (5 * self.most[i:] >= 4 * self.least[i])
-            for j in np.flatnonzero(fit) + i:
-                other = self.leaves[j]
-                overlap = np.minimum(self.points[own][:, None], self.points[other][None]).sum(axis=2, dtype=np.int64)
-                ok = 9 * overlap >= 4 * (self.sizes[own][:, None] + self.sizes[other][None])
-                ok |= self.full[own][:, None] | self.full[other][None]
-                if i == j:
-                    ok = np.triu(ok, 1)
-                x, y = np.nonzero(ok)
-                if len(x):
-                    yield own[x], other[y], overlap[x, y]
-
-
-def candidate_pairs(members: DataFrame, choice: int | None) -> DataFrame:
-    """Distinct (a, b), a < b, from the trees of members (h, fp, n, point, label), only across labels.
-
-    choice None: all pairs; else for each point one partner over all its trees: for 0 the least, then that of the greatest bound."""
+    """Points packed by component, then size, then their widest coordinate; FAN nodes of a level make one of the next.
+
+    Of a node is known: the greatest corner of its points (in ``top``), their least and greatest size and component."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        wide = points[:, int(np.argmax(np.ptp(points, axis=0)))]
+        self.order = np.lexsort((wide, sizes, labels))
+        points, sizes, labels = points[self.order], sizes[self.order], labels[self.order]
+        self.levels = [(points, (points == FULL).any(axis=1), sizes, sizes, labels, labels)]
+        while len(self.levels[-1][0]) > 1:
+            at = np.arange(0, len(self.levels[-1][0]), FAN)
+            up = (np.maximum, np.logical_or, np.minimum, np.maximum, np.minimum, np.maximum)
+            self.levels.append(tuple(f.reduceat(x, at, axis=0) for f, x in zip(up, self.levels[-1])))
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points of different components whose bound allows a link."""
+        zero = np.zeros(1, np.int64)
+        stack = [(len(self.levels) - 1, zero, zero)]
+        while stack:
+            level, i, j = stack.pop()
+            top, full, least, most, low, high = self.levels[level]
+            near = (5 * most[i] >= 4 * least[j]) & (5 * most[j] >= 4 * least[i]) & ((low[i] != high[j]) | (low[j] != high[i]))
+            i, j = i[near], j[near]
+            overlap = np.minimum(top[i], top[j]).sum(axis=1, dtype=np.int64)
+            ok = _fits(overlap, least[i] + least[j], full[i] | full[j])
+            i, j = i[ok], j[ok]
+            if level == 0:
+                if len(i):
+                    yield self.order[i], self.order[j]
+                continue
+            n = len(self.levels[level - 1][0])
+            step = np.arange(FAN)
+            for lo in range(0, len(i), FRONTIER):
+                a = (i[lo : lo + FRONTIER, None, None] * FAN + step[:, None] + 0 * step).ravel()
+                b = (j[lo : lo + FRONTIER, None, None] * FAN + step + 0 * step[:, None]).ravel()
+                # a point is no pair with itself
+                real = (a < n) & (b < n) & ((a < b) if level == 1 else (a <= b))
+                if real.any():
+                    stack.append((level - 1, a[real], b[real]))
+
+
+def _within(h: np.ndarray, n: np.ndarray, label: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of many trees of at most FAN points, rows sorted by tree h: each is one node, all pairs of which are tested."""
+    full = (points == FULL).any(axis=1)
+    for d in range(1, FAN):
+        i = np.flatnonzero((h[d:] == h[:-d]) & (label[d:] != label[:-d]))
+        for lo in range(0, len(i), FRONTIER * FAN):
+            x = i[lo : lo + FRONTIER * FAN]
+            y = x + d
+            x, y = (v[(5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x])] for v in (x, y))
+            ok = _fits(np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64), n[x] + n[y], full[x] | full[y])
+            yield x[ok], y[ok]
+
+
+def _split(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with _cells: into how many cells the tree of their key is split.  Only trees beyond HOT points are; what is broadcast of them has HOT_TREES rows at most."""
+    hot = max(HOT, -(-total // HOT_TREES))
+    big = rows.groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("_cells"))
+    return rows.join(F.broadcast(big), key, "left").withColumn("_cells", F.coalesce("_cells", F.lit(1)))
+
+
+def stars(homes: DataFrame, classes: DataFrame, labels: DataFrame | None, total: int, salt: int) -> DataFrame:
+    """Candidates (a, b) of one round: in the tree of its home (fp, h), or a cell of it, each class meets the leaders until one may be its like."""
+    rows = homes.join(classes.select("fp", "n", "point"), "fp")
+    rows = rows.withColumn("label", F.col("fp")) if labels is None else rows.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rows = _split(rows, "h", total).withColumn("h", F.xxhash64("h", F.pmod(F.xxhash64(F.lit(salt), "fp"), "_cells"))).drop("_cells")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, "h"):
             h, fp, n, label = (f[c].to_numpy() for c in ("h", "fp", "n", "label"))
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            ends = np.append(starts[1:], len(h))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            two = starts[(ends - starts) == 2]
-            pts = unpacked(list(f["point"]))
-            if len(two):
-                overlap = np.minimum(pts[two], pts[two + 1]).sum(axis=1, dtype=np.int64)
-                full = (np.maximum(pts[two], pts[two + 1]) == FULL).any(axis=1)
-                ok = ((9 * overlap >= 4 * (n[two] + n[two + 1])) | full) & (label[two] != label[two + 1])
-                x, y = fp[two[ok]], fp[two[ok] + 1]
-                score = _scores(x, y, (n[two] + n[two + 1])[ok], overlap[ok], choice or 0)
-                out += [(x, y, score), (y, x, score)]
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                if e - s < 3 or (label[s:e] == label[s]).all():
-                    continue
-                mine, own, size = fp[s:e], label[s:e], n[s:e]
-                best = np.full(e - s, -1)
-                for x, y, overlap in RTree(pts[s:e], size).candidates():
-                    cross = own[x] != own[y]
-                    x, y, overlap = x[cross], y[cross], overlap[cross]
-                    if choice is None:
-                        out.append((mine[x], mine[y], np.zeros(len(x), np.int64)))
-                        continue
-                    # the greatest score wins, then the least place; places follow the fingerprints
-                    score = _scores(mine[x], mine[y], size[x] + size[y], overlap, choice) << 32
-                    np.maximum.at(best, x, score + (e - s - 1 - y))
-                    np.maximum.at(best, y, score + (e - s - 1 - x))
-                if choice is not None:
-                    some = best >= 0
-                    out.append((mine[some], mine[e - s - 1 - (best[some] & 0xFFFFFFFF)], best[some] >> 32))
+            points = unpacked(list(f["point"]))
+            full = (points == FULL).any(axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            out = []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                rest = np.arange(s, e)
+                for _ in range(LEADERS):
+                    if len(rest) < 2:
+                        break
+                    lead, rest = rest[0], rest[1:]
+                    rest = rest[label[rest] != label[lead]]
+                    overlap = np.minimum(points[lead], points[rest]).sum(axis=1, dtype=np.int64)
+                    ok = _fits(overlap, n[lead] + n[rest], full[lead] | full[rest])
+                    out.append((np.full(int(ok.sum()), fp[lead]), fp[rest[ok]]))
+                    rest = rest[~ok]
             if out:
-                a, b, score = (np.concatenate(v) for v in zip(*out))
-                if choice is None:
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                pairs = np.unique(np.stack([a, b, score], axis=1), axis=0)
-                yield pd.DataFrame(pairs, columns=["a", "b", "score"])
-
-    rows = members.repartition(spread(members.sparkSession), "h").sortWithinPartitions("h", "fp")
-    pairs = rows.mapInPandas(run, "a long, b long, score long")
-    if choice is not None:
-        best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("score"), "b")).alias("m"))
-        pairs = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
-    return pairs.select("a", "b").distinct()
-
-
-def _scores(a: np.ndarray, b: np.ndarray, total: np.ndarray, overlap: np.ndarray, choice: int) -> np.ndarray:
-    """What a round prefers: nothing, then the bound's share of both sizes, then that with some chance."""
-    if choice == 0:
-        return np.zeros(len(a), np.int64)
-    score = overlap.astype(np.int64) * SCALE // total
-    if choice > 1:
-        mixed = _mix((a ^ b).view(np.uint64) + np.uint64(choice))
-        score += (mixed % np.uint64(2 * JITTER)).astype(np.int64) - JITTER
-    return np.maximum(score, 0)
+                a, b = (np.concatenate(x) for x in zip(*out))
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    dealt = rows.select("h", "fp", "n", "point", "label").repartition(spread(rows.sparkSession), "h").sortWithinPartitions("h", F.xxhash64(F.lit(salt), "fp"))
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def between_components(shared: DataFrame, classes: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
+    """All candidates (a, b) of different components, from the trees of shared (h, fp)."""
+    spark = shared.sparkSession
+    if labels is None:
+        rows = shared.withColumn("label", F.col("fp"))
+    else:
+        rows = shared.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    ends = rows.groupBy("h").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_k")).where("_low <> _high")
+    # of a split tree, a point is in the cells of all pairs of parts with its own
+    hot = max(HOT, -(-total // HOT_TREES))
+    cells = F.ceil(F.col("_k") / hot).cast("int")
+    rows = rows.join(ends.select("h", cells.alias("_cells")), "h")
+    own = F.pmod(F.xxhash64("fp"), "_cells")
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_cells") - 1), lambda i: F.struct(F.least(own, i).alias("x"), F.greatest(own, i).alias("y"))))
+    rows = rows.select("h", "fp", "label", "_cells", cell.alias("_c"))
+    rows = rows.withColumn("h", F.when(F.col("_cells") > 1, F.xxhash64("h", "_c.x", "_c.y")).otherwise(F.col("h"))).select("h", "fp", "label")
+    rows = rows.join(classes.select("fp", "n", "point"), "fp")
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _runs(frames, "h"):
+            h, fp, n, label = (f[c].to_numpy() for c in ("h", "fp", "n", "label"))
+            points = unpacked(list(f["point"]))
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            k = np.diff(starts)
+            small = np.repeat(k <= FAN, k)
+            at = np.flatnonzero(small)
+            out = [(fp[at[x]], fp[at[y]]) for x, y in _within(h[at], n[at], label[at], points[at])]
+            for s, e in zip(starts[:-1][k > FAN].tolist(), starts[1:][k > FAN].tolist()):
+                mine = fp[s:e]
+                out += [(mine[x], mine[y]) for x, y in RTree(points[s:e], n[s:e], label[s:e]).candidates()]
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out))
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pd.DataFrame(pairs, columns=["a", "b"])
+
+    dealt = rows.select("h", "fp", "n", "point", "label").repartition(spread(spark), "h").sortWithinPartitions("h", "fp")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def _among(ids: DataFrame):
@@ -361,7 +417,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     sets = shingle_sets(docs, needed.join(classes, "fp").select("rep", "fp"))
     out = written(verified(pairs, sets), "links")
-    discard(sets)
+    for used in (sets, pairs):
+        discard(used)
     release(docs.sparkSession)
     return out
 
@@ -374,29 +431,33 @@ def join_components(docs: DataFrame) -> DataFrame:
     sketched = written(whole.select("doc_id", "n", "fp"), "rows")
     shared = blocks(whole)
     discard(whole)
-    members = written(shared.join(classes, "fp").select("h", "fp", "n", "point"), "members")
-    discard(shared)
+    homes = written(shared.groupBy("fp").agg(F.count("*").alias("k"), *[F.min(F.xxhash64(F.lit(r), "h")).alias(f"h{r}") for r in range(STARS)]), "homes")
     release(docs.sparkSession)
+    total = shared.count()
     labels = links = None
-    for choice in [*range(STARS), None]:
-        label = F.col("fp")
-        marked = members
-        if labels is not None:
-            marked, label = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left"), F.coalesce("label", "fp")
-        pairs = written(candidate_pairs(marked.withColumn("label", label), choice), "pairs")
+    for r in [*range(STARS), None]:
+        if r is None:
+            found = between_components(shared, classes, labels, total)
+        else:
+            found = stars(homes.select("fp", F.col(f"h{r}").alias("h")), classes, labels, total, r)
+        pairs = written(found, "pairs")
         release(docs.sparkSession)
-        if not pairs.limit(1).count():
-            break
-        more = _verified(docs, pairs, classes)
-        if more.limit(1).count():
-            links = more if links is None else links.unionByName(more)
-            labels = connected_components(links)
-    discard(members)
+        if pairs.limit(1).count():
+            more = _verified(docs, pairs, classes)
+            if more.limit(1).count():
+                links = more if links is None else links.unionByName(more)
+                if labels is not None:
+                    discard(labels)
+                labels = connected_components(links)
+        discard(pairs)
+    for used in (shared, homes, *([] if links is None else [links])):
+        discard(used)
     if labels is None:
-        labels = classes.select(F.col("fp").alias("node"), F.col("fp").alias("label")).limit(0)
-    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "label").select("fp", "component_id")
+        named = classes.select("fp", F.col("rep").alias("component_id"))
+    else:
+        named = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+        least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+        named = with_label(named, least, "label").select("fp", "component_id")
     linked = sketched.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -404,9 +465,10 @@ def join_components(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id; rows without shingles stay."""
     found = written(join_components(docs), "components")
-    gone = found.where(F.col("n_shingles") > 0).groupBy("doc_id").agg(F.min("component_id").alias("c")).where(~F.col("c").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone"))
-    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.where(F.col("n_shingles") > 0).groupBy("doc_id").agg(F.min("component_id").alias("c")).where(~F.col("c").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name))
+    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
     if repeated.limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out

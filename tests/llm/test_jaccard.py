@@ -59,20 +59,44 @@ def corpus(seed=5):
     return rows + [(5000, None), (5001, ""), (None, "a"), (None, "lone null"), (rows[3][0], rows[3][1]), (rows[4][0], "another text of the same id here")]
 
 
-@pytest.mark.parametrize("common", [20, 3])
-def test_components(spark, monkeypatch, common):
-    monkeypatch.setattr(jaccard_join, "COMMON", common)
-    monkeypatch.setattr(jaccard_join, "LEAF", 4)
-    rows = corpus(common)
+@pytest.mark.parametrize("seed,settings", [(20, {}), (3, {"COMMON_WINDOW": 500, "COMMON": 3, "FAN": 2}), (4, {"STARS": 0, "HOT": 5}), (5, {"LEADERS": 1, "HOT": 3, "FAN": 3})])
+def test_components(spark, monkeypatch, seed, settings):
+    """Whatever the shapes of trees, splits and rounds."""
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, n string").repartition(4)
     key = lambda r: tuple((x is None, x) for x in r)
     got = sorted((tuple(r) for r in jaccard_join.join_components(docs).collect()), key=key)
     assert got == sorted(brute(rows), key=key)
 
 
+def test_tree_finds_all_pairs():
+    rnd = np.random.default_rng(1)
+    base = [np.unique(rnd.integers(0, 1 << 60, 150).astype(np.uint64)) for _ in range(20)]
+    sets_ = [np.unique(np.where(rnd.random(len(b)) < 0.04, rnd.integers(0, 1 << 60, len(b)).astype(np.uint64), b)) for b in base for _ in range(12)]
+    points, sizes, labels = np.array([jaccard_join.point(s) for s in sets_]), np.array([len(s) for s in sets_]), np.arange(len(sets_)) // 3
+    tree = jaccard_join.RTree(points, sizes, labels)
+    got = {tuple(sorted(p)) for x, y in tree.candidates() for p in zip(x.tolist(), y.tolist())}
+    overlap = np.minimum(points[:, None], points[None]).sum(axis=2, dtype=np.int64)
+    fit = 9 * overlap >= 4 * (sizes[:, None] + sizes)
+    want = {(i, j) for i in range(len(sets_)) for j in range(i + 1, len(sets_)) if fit[i, j] and labels[i] != labels[j] and 5 * sizes[i] >= 4 * sizes[j] and 5 * sizes[j] >= 4 * sizes[i]}
+    assert got == want and len(want) < 20 * 66 + 50 and len(tree.levels) > 2
+
+
+def test_long_texts(spark):
+    """Groups past the greatest count of a point bound nothing: long near copies still link."""
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(120_000)]
+    near = [w if rnd.random() > 0.01 else "other" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:90_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.join_components(docs).collect()) == sorted((d, c) for d, _, c in brute(rows))
+
+
 def test_deduplicate(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, n string")
+    docs = spark.createDataFrame([(*r, "n", "g") for r in rows], "doc_id long, text string, n string, _gone string")
     want = {(c, n) for d, n, c in brute(rows) if n}
     kept = jaccard_join.deduplicate(docs)
     assert kept.columns == docs.columns
