@@ -69,3 +69,25 @@ def date_only(x: Column) -> Column:
 def retry_delay_ms(attempt: Column, base_ms: int) -> Column:
     """Doubles with every attempt, from a second or more."""
     return (F.lit(max(1000, base_ms)) * F.pow(F.lit(2), attempt - 1)).cast("long")
+
+
+def local_date_time(ts: Column, zone: str = "UTC") -> Column:
+    """yyyy-MM-dd HH:mm:ss of a UTC time in the zone."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd HH:mm:ss")
+
+
+def iso_date(x: Column) -> Column:
+    """ISO 8601 in UTC of a text or time, null where it is none."""
+    return F.date_format(x.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def stage_timings(marks: dict[str, Column]) -> Column:
+    """Milliseconds of each stage, from its mark to the next one's, and in all; the last mark ends the last stage."""
+    names, at = list(marks), list(marks.values())
+    each = [(at[k + 1] - at[k]).alias(names[k]) for k in range(len(at) - 1)]
+    return F.struct(*each, (at[-1] - at[0]).alias("total"))
+
+
+def stamped_id(prefix: str, ts: Column, *parts: Column) -> Column:
+    """prefix-time-hash: the time's digits, and eight characters that the parts decide, so that a run again gives the same id."""
+    return F.concat_ws("-", F.lit(prefix), F.date_format(ts, "yyyyMMddHHmmssSSS"), F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 8))

@@ -16,11 +16,15 @@ def bound(x: Column, f) -> Column:
 def line_windows(x: Column) -> Column:
     """Distinct (raw, searchable) of each line, with the next, the one before and both, and of the whole text; first ones stay.
 
-    Windows without a letter or digit are dropped; a text has at most about eight times its own length in windows."""
-    around = lambda lines, i: F.array(*[F.array_join(F.slice(lines, F.greatest(i + 1 - before, F.lit(1)), F.least(i, F.lit(before)) + 1 + after), " ") for before, after in ((0, 0), (0, 1), (1, 0), (1, 1))])
-    raw = F.array_append(bound(t.normalized_lines(x), lambda lines: F.flatten(F.transform(lines, lambda _, i: around(lines, i)))), t.normalize_noise(x))
-    both = F.transform(F.array_distinct(raw), lambda r: F.struct(r.alias("raw"), t.searchable(r).alias("searchable")))
-    return F.filter(both, lambda w: w["searchable"] != "")
+    Each line is normalised once: what is searchable of joined lines is the join of what is searchable of each.  Windows
+    without a letter or digit are dropped; a text has at most about eight times its own length in windows."""
+    both = lambda c: F.struct(t.normalize_noise(c).alias("raw"), t.searchable(c).alias("searchable"))
+    lines = F.filter(F.transform(F.split(t.text(x), "\r?\n", -1), both), lambda w: w["raw"] != "")
+    joined = lambda ws: F.struct(F.array_join(F.transform(ws, lambda w: w["raw"]), " ").alias("raw"), F.array_join(F.filter(F.transform(ws, lambda w: w["searchable"]), lambda s: s != ""), " ").alias("searchable"))
+    around = lambda ls, i: F.array(*[joined(F.slice(ls, F.greatest(i + 1 - before, F.lit(1)), F.least(i, F.lit(before)) + 1 + after)) for before, after in ((0, 0), (0, 1), (1, 0), (1, 1))])
+    whole = F.struct(t.normalize_noise(x).alias("raw"), t.searchable(x).alias("searchable"))
+    windows = F.array_append(bound(lines, lambda ls: F.flatten(F.transform(ls, lambda _, i: around(ls, i)))), whole)
+    return F.filter(F.array_distinct(windows), lambda w: w["searchable"] != "")
 
 
 def sliding_digits(x: Column, width: int = 7, shortest: int = 8, longest: int = 11) -> Column:

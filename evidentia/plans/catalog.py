@@ -5,55 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import boxes, dates, scoring
+from evidentia.functions import dates, scoring
 from evidentia.functions import text as t
 from evidentia.operators import fields, jobs, keys, ranking, rules, windows
+from evidentia.plans.base import ORACLE_SQL, QUERIES, noise, query, search
+from evidentia.plans.base import table as _table
 
-QUERIES = {}
-ORACLE_SQL = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_SEARCH = "trim(regexp_replace(regexp_replace(lower(strip_accents(trim(regexp_replace(translate({x}, '“”‘’`´–—[]{{}}|¦•·º°', '\"\"''''''''--1111II..oo'), '\\s+', ' ', 'g')))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-@query(f"SELECT doc_id, md5({_SEARCH.format(x='text')}) AS searchable_md5, len({_SEARCH.format(x='text')}) AS n FROM documents")
+@query(f"SELECT doc_id, md5({search('text')}) AS searchable_md5, len({search('text')}) AS n FROM documents")
 def text_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise repair, accents, case and punctuation."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", t.searchable(F.col("text")).alias("s"))
     return docs.select("doc_id", F.md5(F.col("s").cast("binary")).alias("searchable_md5"), F.length("s").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[^0-9]+', '', 'g') AS digits, coalesce(nullif(regexp_replace(text, '[^0-9]+', '', 'g'), ''), 'none') AS key_or_none FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[^0-9]+', '', 'g') AS digits, coalesce(nullif(regexp_replace(text, '[^0-9]+', '', 'g'), ''), trim(text)) AS business_key FROM documents")
 def text_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.digits_only(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", d.alias("digits"), F.coalesce(F.nullif(d, F.lit("")), F.lit("none")).alias("key_or_none"))
+    """Digits, and the key of each text: its digits, else itself."""
+    return _table(spark, sf_dir, "documents").select("doc_id", t.digits_only(F.col("text")).alias("digits"), t.business_key(F.col("text")).alias("business_key"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines, len(regexp_replace(text, '\\s', '', 'g')) AS chars, left(text, 320) AS preview FROM documents")
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words, len(regexp_replace(text, '\\s', '', 'g')) AS chars, left(text, 320) AS preview FROM documents")
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = t.statistics(F.col("text"))
     rows = _table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
-    return rows.select("doc_id", F.col("s.lines").cast("long").alias("lines"), F.col("s.chars").cast("long").alias("chars"), F.col("s.preview").alias("preview"))
+    return rows.select("doc_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("lines", "words", "chars")], F.col("s.preview").alias("preview"))
 
 
-@query("SELECT p_partkey, round(1 - levenshtein(lower(p_brand), lower(p_type)) / greatest(len(p_brand), len(p_type))::DOUBLE, 4) AS similarity FROM part WHERE regexp_full_match(lower(p_brand || p_type), '[a-z0-9]*')")
+_A, _B = search("p_name"), search("p_brand || ' ' || p_type")
+
+
+@query(f"SELECT p_partkey, levenshtein({_A}, {_B}) AS distance, round(1 - levenshtein({_A}, {_B}) / greatest(len({_A}), len({_B}))::DOUBLE, 4) AS similarity FROM part")
 def fuzzy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part").where(F.lower(F.concat("p_brand", "p_type")).rlike("^[a-z0-9]*$"))
-    return part.select("p_partkey", scoring.similarity(F.col("p_brand"), F.col("p_type")).alias("similarity"))
+    """Edit distance and similarity of each part's name and its brand and type."""
+    a, b = F.col("p_name"), F.concat_ws(" ", "p_brand", "p_type")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.levenshtein(t.searchable(a), t.searchable(b)).cast("long").alias("distance"), scoring.similarity(a, b).alias("similarity"))
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +93,11 @@ def latest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.latest(_table(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderdate")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.unseen(_table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
+    """Orders that no returned line reports yet."""
+    done = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return keys.unseen(_table(spark, sf_dir, "orders"), done, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT user_id, arg_max(event_type, event_id) AS status, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS events,
@@ -147,25 +134,23 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", k.alias("k"), dates.retry_delay_ms(k % 5 + 1, 500).alias("delay_ms"))
 
 
-@query("""WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%d%m%y') AS a, lpad(o_orderkey::VARCHAR, 6, '0') AS b FROM orders),
-v AS (SELECT *, try_cast('20' || b[5:6] || '-' || b[3:4] || '-' || b[1:2] AS DATE) IS NOT NULL OR try_cast('20' || b[1:2] || '-' || b[3:4] || '-' || b[5:6] AS DATE) IS NOT NULL AS b_date FROM d)
-SELECT o_orderkey, true AS a_date, b_date FROM v""")
+_DAY = "try_cast({y} || '-' || {m} || '-' || {d} AS DATE) IS NOT NULL"
+_SIX = "(" + _DAY.format(y="'20' || {x}[5:6]", m="{x}[3:4]", d="{x}[1:2]") + " OR " + _DAY.format(y="'20' || {x}[1:2]", m="{x}[3:4]", d="{x}[5:6]") + ")"
+_EIGHT = "(" + _DAY.format(y="{x}[5:8]", m="{x}[3:4]", d="{x}[1:2]") + " OR " + _DAY.format(y="{x}[1:4]", m="{x}[5:6]", d="{x}[7:8]") + ")"
+
+
+@query(f"""WITH d AS (SELECT o_orderkey, lpad((o_orderkey * 7919 % 1000000)::VARCHAR, 6, '0') AS a, lpad((o_orderkey * 104729 % 40000000)::VARCHAR, 8, '0') AS b FROM orders)
+SELECT o_orderkey, {_SIX.format(x='a')} AS six, {_EIGHT.format(x='b')} AS eight FROM d""")
 def compact_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which digit runs can be dates."""
-    rows = _table(spark, sf_dir, "orders")
-    return rows.select("o_orderkey", dates.is_compact_date(F.date_format("o_orderdate", "ddMMyy")).alias("a_date"), dates.is_compact_date(F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("b_date"))
+    run = lambda by, over, n: F.lpad((F.col("o_orderkey") * by % over).cast("string"), n, "0")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", dates.is_compact_date(run(7919, 1000000, 6)).alias("six"), dates.is_compact_date(run(104729, 40000000, 8)).alias("eight"))
 
 
 @query("SELECT l_suppkey, count(*) AS n, list_sort(list(l_quantity))[greatest(1, ceil(count(*) * 0.9)::INT)] AS p90 FROM lineitem GROUP BY l_suppkey")
 def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By row numbers, so that no group is held in one array."""
-    from pyspark.sql import Window
-
-    rows = _table(spark, sf_dir, "lineitem")
-    n = F.count("*").over(Window.partitionBy("l_suppkey"))
-    i = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_quantity"))
-    rows = rows.select("l_suppkey", "l_quantity", n.alias("n"), i.alias("i"))
-    return rows.where(F.col("i") == F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.9).cast("double")))).select("l_suppkey", "n", F.col("l_quantity").alias("p90"))
+    """Nearest rank among each supplier's quantities, from their counts."""
+    return ranking.nearest_rank(_table(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity", 0.9).select("l_suppkey", "n", F.col("value").alias("p90"))
 
 
 @query("SELECT DISTINCT ON (user_id, event_type) event_id, user_id, event_type FROM events ORDER BY user_id, event_type, event_id")
@@ -174,19 +159,18 @@ def alert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.deduplicate_open(rows, "dedupe_key", F.col("event_id")).select("event_id", "user_id", "event_type")
 
 
-_NOISE = "trim(regexp_replace(translate({x}, '“”‘’`´–—[]{{}}|¦•·º°', '\"\"''--1111II..oo'), '\\s+', ' ', 'g'))"
-
-
-@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: {_NOISE.format(x='x')}), lambda x: x <> '') AS ls, {_NOISE.format(x='text')} AS whole FROM documents),
-w AS (SELECT DISTINCT doc_id, unnest(list_concat([whole], flatten(list_transform(range(1, len(ls) + 1), lambda i: [ls[i], array_to_string(ls[i:i + 1], ' '), array_to_string(ls[greatest(i - 1, 1):i], ' '), array_to_string(ls[greatest(i - 1, 1):i + 1], ' ')])))) AS raw FROM l)
-SELECT doc_id, count(*) AS n, sum(len(raw))::BIGINT AS chars FROM w WHERE {_SEARCH.format(x='raw')} <> '' GROUP BY doc_id""")
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: {noise('x')}), lambda x: x <> '') AS ls, {noise('text')} AS whole FROM documents),
+w AS (SELECT DISTINCT doc_id, unnest(list_concat(flatten(list_transform(range(1, len(ls) + 1), lambda i: [ls[i], array_to_string(ls[i:i + 1], ' '), array_to_string(ls[greatest(i - 1, 1):i], ' '), array_to_string(ls[greatest(i - 1, 1):i + 1], ' ')])), [whole])) AS raw FROM l),
+s AS (SELECT doc_id, raw, {search('raw')} AS searchable FROM w)
+SELECT doc_id, count(*) AS n, md5(array_to_string(list(md5(raw || chr(9) || searchable) ORDER BY md5(raw || chr(9) || searchable)), '')) AS windows_md5 FROM s WHERE searchable <> '' GROUP BY doc_id""")
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number and length of each document's windows of lines."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(windows.line_windows(F.col("text"))).alias("w"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("w.raw")).alias("chars"))
+    """Number and digest of each document's windows of lines, what they show and what is searchable of them."""
+    hashed = F.transform("w", lambda w: F.md5(F.concat_ws("\t", w["raw"], w["searchable"]).cast("binary")))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", windows.line_windows(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join(F.array_sort(hashed), "").cast("binary")).alias("windows_md5"))
 
 
-@query(f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all({_NOISE.format(x='text')}, '[0-9]{{8,11}}')) AS r FROM documents),
+@query(f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all({noise('text')}, '[0-9]{{8,11}}')) AS r FROM documents),
 d AS (SELECT doc_id, unnest(list_transform(range(1, len(r) - 5), lambda i: substr(r, i, 7))) AS digits FROM r)
 SELECT doc_id, digits, count(*) AS n FROM d GROUP BY ALL""")
 def digit_runs_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,12 +194,15 @@ def competing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.competing(rows, "l_orderkey", "l_partkey", "q", 5)
 
 
-@query(f"SELECT page_id, array_to_string(list_filter(['data', 'the', 'page', 'recebimento'], lambda w: contains({_SEARCH.format(x='html')}, w)), ',') AS words FROM pages")
+@query(f"SELECT page_id, array_to_string(list_filter(['data', 'the', 'page', 'recebimento'], lambda w: contains({search('html')}, w)), ',') AS words FROM pages")
 def html_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that each page holds."""
     return _table(spark, sf_dir, "pages").select("page_id", F.array_join(fields.markers(F.col("html"), ("data", "the", "page", "recebimento")), ",").alias("words"))
 
 
+from evidentia.plans import date_queries, decision_queries, text_queries  # noqa: E402, F401  their queries register themselves
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup of extracted keys, and rescue of those that aren't found."""
     return key_lookup(spark, sf_dir).join(key_rescue(spark, sf_dir), "doc", "left")
