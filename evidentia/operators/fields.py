@@ -165,7 +165,7 @@ def parse_values(lines: DataFrame, spec: ValueSpec) -> DataFrame:
     """(doc, value, confidence, source): the best value of a field.
 
     lines: doc, line_no, text, confidence and provider_confidence (0..1), box, page_width, page_height.  A field that isn't keyed also takes the
-    whole text's values; a keyed one only where no line has any."""
+    whole text's values; a keyed one only where no line has any.  Of equals the first line's first value wins."""
     alias = alias_match(F.col("text"), spec.aliases)["confidence"]
     values = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(f"({spec.pattern})"), F.lit(1)), lambda v: F.trim(v)), lambda v: v != "")
     unit = lambda c, other: t.unit_confidence(F.col(c), other)
@@ -180,8 +180,8 @@ def parse_values(lines: DataFrame, spec: ValueSpec) -> DataFrame:
     if spec.keyed:
         weak, strong = (F.col("region") < 0.08) & (F.col("label") < 0.3), (F.col("region") >= 0.2) | (F.col("label") >= 0.6)
         score = F.when(weak, score * 0.52).when(strong, F.least(F.lit(1.0), score + 0.08)).otherwise(score)
-    kept = ("doc", "at", "value", "score", "region", "label", "source")
-    found = rows.where("wanted").select("doc", F.col("line_no").alias("at"), r2(score).alias("score"), r2(F.col("region")).alias("region"), r2(F.col("label")).alias("label"), F.explode("values").alias("value"), F.lit("line").alias("source")).select(*kept)
+    kept = ("doc", "at", "i", "value", "score", "region", "label", "source")
+    found = rows.where("wanted").select("doc", F.col("line_no").alias("at"), r2(score).alias("score"), r2(F.col("region")).alias("region"), r2(F.col("label")).alias("label"), F.posexplode("values").alias("i", "value"), F.lit("line").alias("source")).select(*kept)
     text = lines.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"), F.max("provider_confidence").alias("provider_confidence"))
     if spec.keyed:
         text = text.join(found.select("doc").distinct(), "doc", "left_anti")
@@ -189,8 +189,8 @@ def parse_values(lines: DataFrame, spec: ValueSpec) -> DataFrame:
     score = base(unit("provider_confidence", 0.45))
     if spec.keyed:
         score = score * F.when(F.col("label") >= 0.45, 0.55).otherwise(0.28)
-    of_text = text.select("doc", F.lit(1 << 30).alias("at"), r2(score).alias("score"), "region", r2(F.col("label")).alias("label"), F.explode(values(F.col("text"))).alias("value"), F.lit("document").alias("source")).select(*kept)
-    best = found.unionByName(of_text).groupBy("doc").agg(F.max_by(F.struct("value", F.col("score").alias("confidence"), "source"), F.struct("score", "region", "label", -F.col("at"))).alias("b"))
+    of_text = text.select("doc", F.lit(1 << 30).alias("at"), r2(score).alias("score"), "region", r2(F.col("label")).alias("label"), F.posexplode(values(F.col("text"))).alias("i", "value"), F.lit("document").alias("source")).select(*kept)
+    best = found.unionByName(of_text).groupBy("doc").agg(F.max_by(F.struct("value", F.col("score").alias("confidence"), "source"), F.struct("score", "region", "label", -F.col("at"), -F.col("i"))).alias("b"))
     return best.select("doc", "b.*")
 
 
