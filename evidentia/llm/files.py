@@ -22,7 +22,10 @@ def write_whole(uri: str, parts: list[bytes]) -> None:
             out.write(p)
     try:
         system.move(mine, path)
-    except OSError:  # another attempt was first, where rename doesn't replace
+    except OSError:
+        if system.get_file_info(path).size != sum(map(len, parts)):
+            raise
+        # another attempt was first, where rename doesn't replace
         system.delete_file(mine)
 
 

@@ -5,8 +5,8 @@ discounted by Good-Turing, and the mass they leave is that of the unknown word.
 are discounted alike, and each history's backoff weight is what exactly normalises it.  p(w | h) is the discounted bigram
 where it was seen, else backoff(h) * p(w), and p(w) is the discounted unigram or the unknown word.
 
-Texts are tokenised once, into chunks of about CHUNK_TOKENS tokens, which are written: the distinct words' 64-bit hashes, and
-the text as places among them.  The tables of words, bigrams and histories are partitioned by ranges of key hashes, into
+Texts are tokenised once, into chunks of about CHUNK_TOKENS tokens, each a file in the shared folder: the distinct words'
+64-bit hashes, and the text as places among them.  Only the chunks' paths go through shuffles.  The tables of words, bigrams and histories are partitioned by ranges of key hashes, into
 parts of about PART_KEYS keys at every corpus size.  A chunk sends each part its distinct keys of that range (so a hot key is
 one entry a chunk) with their training counts; the part adds them up and answers for each of the keys:
 
@@ -22,6 +22,8 @@ word of probability 1 and the base score is 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,10 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import discard, release, spread, text_of, written
+from evidentia.llm.common import discard, fresh_path, release, remove, spread, text_of, written
+from evidentia.llm.files import read_whole, write_whole
 
 K = 5
-CHUNK_TOKENS, CHUNK_DOCS, PART_KEYS = 1 << 21, 60_000, 1 << 22
+CHUNK_TOKENS, CHUNK_DOCS, PART_KEYS = 3 << 19, 60_000, 1 << 22
 #: No word has a space in it.
 END, START = b" end", b" start"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -99,8 +102,8 @@ def _trim() -> None:
         libc.malloc_trim(0)
 
 
-#: Chunks (kind 0: words, places, sizes, held), questions and answers (kind 1: words, 2: bigrams, 3: histories) are rows of one shape.
-_ROW = "kind int, part int, chunk long, n long, ids array<string>, a binary, b binary, c binary, d binary, sums array<long>"
+#: Chunks (kind 0: their path), questions and answers (kind 1: words, 2: bigrams, 3: histories) are rows of one shape.
+_ROW = "kind int, part int, chunk long, n long, path string, a binary, b binary, c binary, d binary, sums array<long>"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
 WORDS, PAIRS, HISTORIES = 1, 2, 3
 
@@ -110,8 +113,8 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(*r, *[None] * (len(_NAMES) - len(r))) for r in rows], columns=_NAMES)
 
 
-def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
-    """The tokenised texts, some thousand a row."""
+def chunks(docs: DataFrame, held_out: Column, folder: str) -> DataFrame:
+    """The tokenised texts, some thousand a file under folder: a row for each."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
@@ -123,7 +126,11 @@ def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
             ids, out, parts = zip(*held)
             words, seq = np.unique(np.concatenate(parts), return_inverse=True)
             sizes = np.array([len(t) for t in parts], "<u4")
-            row = (0, -1, number, total, list(ids), _packed_keys(words), _packed(seq.astype("<u4")), _packed(sizes), _packed(np.array(out, np.uint8)))
+            blobs = [json.dumps(ids).encode(), _packed_keys(words), _packed(seq.astype("<u4")), _packed(sizes), _packed(np.array(out, np.uint8))]
+            # a name of its own: a repeated task may meet other rows
+            path = f"{folder}/{uuid.uuid4().hex}.bin"
+            write_whole(path, [np.array([len(b) for b in blobs], "<u8").tobytes(), *blobs])
+            row = (0, -1, number, total, path)
             held, total, number = [], 0, number + 1
             return _rows([row])
 
@@ -148,13 +155,16 @@ class Chunk:
     def __init__(self, row):
         import xxhash
 
-        self.number, self.ids = row.chunk, list(row.ids)
-        self.words = np.append(_unpacked_keys(row.a), np.uint64(xxhash.xxh64_intdigest(START)))
+        raw = read_whole(row.path)
+        cuts = 40 + np.cumsum([0, *np.frombuffer(raw[:40], "<u8").tolist()])
+        ids, words, seq, sizes, held = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+        self.number, self.ids = row.chunk, json.loads(ids)
+        self.words = np.append(_unpacked_keys(words), np.uint64(xxhash.xxh64_intdigest(START)))
         self.start = len(self.words) - 1
         self.end = int(np.searchsorted(self.words[:-1], np.uint64(xxhash.xxh64_intdigest(END))))
-        self.seq = _unpacked(row.b, "<u4").astype(np.int64)
-        self.sizes = _unpacked(row.c, "<u4").astype(np.int64)
-        self.held = _unpacked(row.d, "u1").astype(bool)
+        self.seq = _unpacked(seq, "<u4").astype(np.int64)
+        self.sizes = _unpacked(sizes, "<u4").astype(np.int64)
+        self.held = _unpacked(held, "u1").astype(bool)
         self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.before = np.empty_like(self.seq)
         self.before[1:] = self.seq[:-1]
@@ -321,21 +331,25 @@ def _scores(rows: pd.DataFrame, model: Katz) -> pd.DataFrame:
 def score_corpus(docs: DataFrame, held_out: Column) -> DataFrame:
     """Learn from the rows that aren't held out; doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of all."""
     spark = docs.sparkSession
-    table = chunks(docs, held_out)
-    total = table.agg(F.sum("n").alias("n")).first()["n"] or 0
-    parts = max(spread(spark), -(-total // PART_KEYS))
-    counts = written(_questions(table, parts).groupBy("kind", "part").applyInPandas(_count, _ROW), "katz-counts")
+    folder = fresh_path(spark, "katz-texts")
+    table = chunks(docs, held_out, folder)
+    found = table.agg(F.sum("n").alias("tokens"), F.count("*").alias("chunks")).first()
+    parts = max(spread(spark), -(-(found["tokens"] or 0) // PART_KEYS))
+    tasks = max(spread(spark), found["chunks"])
+    asked = _questions(table.repartition(tasks, "chunk"), parts).repartition(parts, "kind", "part")
+    counts = written(asked.groupBy("kind", "part").applyInPandas(_count, _ROW), "katz-counts")
     release(spark)
     sums = counts.where("chunk = -1").groupBy("kind").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(K + 3)]).alias("s"))
     sums = {r["kind"]: r["s"] for r in sums.collect()}
     model = Katz(*[sums.get(kind, [0] * (K + 3)) for kind in (WORDS, PAIRS)])
     known = table.unionByName(counts.where("chunk >= 0"))
-    masses = known.groupBy("chunk").applyInPandas(lambda rows: _masses(rows, model, parts), _ROW)
-    weights = written(masses.groupBy("kind", "part").applyInPandas(_weigh, _ROW), "katz-weights")
+    masses = known.repartition(tasks, "chunk").groupBy("chunk").applyInPandas(lambda rows: _masses(rows, model, parts), _ROW)
+    weights = written(masses.repartition(parts, "kind", "part").groupBy("kind", "part").applyInPandas(_weigh, _ROW), "katz-weights")
     release(spark)
-    scored = known.unionByName(weights).groupBy("chunk").applyInPandas(lambda rows: _scores(rows, model), _SCORED)
+    scored = known.unionByName(weights).repartition(tasks, "chunk").groupBy("chunk").applyInPandas(lambda rows: _scores(rows, model), _SCORED)
     scored = written(scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"), "katz-scores")
     for used in (table, counts, weights):
         discard(used)
+    remove(spark, folder)
     release(spark)
     return scored
