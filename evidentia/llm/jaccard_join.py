@@ -9,10 +9,14 @@ corners of bounding boxes, the sum for all pairs of two R-tree nodes.
    n - ceil(0.8 n) + 1 shingles in a fixed order of all shingles.  Documents that link share a shingle of their
    signatures, so the signature's shingles say which trees a point is in.  The order puts shingles that recur among
    different texts last, which keeps trees small; any order gives the same links.
+   A large set is cut into parts of at most PART shingles by hash, since the groups of a point tell little of many shingles.
+   If two sets' similarity is 0.8 or more, so is that of one of their parts at least, and what follows holds for it:
+   each part has a signature and a point of its own.  Sets of sizes that may link are cut alike: a set is also cut as
+   one a quarter larger would be.
 2. Documents with equal sets are one class, and only classes go on.
-3. In STARS rounds each class is in one tree only, that of a shared shingle of its signature, and meets the leaders of
-   that tree; survivors of the bound are verified on the sets, and components formed.  So thousands of near copies
-   become one component at the cost of one pair each.
+3. In STARS rounds each class is in TREES trees only, those of some shared shingles of its signature, and meets the
+   leaders of each; survivors of the bound are verified on the sets, and components formed.  So thousands of near copies
+   become one component at the cost of a few pairs each.
 4. Then every shingle's points that aren't all of one component form an R-tree, whose nodes hold few components each;
    pairs of nodes are descended where their corners' minima allow a link between components, and all surviving pairs of
    points are verified.  No link that matters to the components is left out.
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import discard, free_name, release, spread, text_of, written
 from evidentia.llm.components import connected_components, with_label
 
-WORDS, GROUPS = 5, 256
+WORDS, GROUPS, PART = 5, 256, 512
 #: Children of a node of a tree; node pairs that are expanded together.
 FAN, FRONTIER = 8, 512
 #: The greatest count of a point; it stands for more, too, and bounds nothing.
@@ -44,8 +48,8 @@ FULL = 255
 COMMON, COMMON_WINDOW, COMMON_MOST = 8, 1 << 22, 200_000
 #: A class is sketched once a task while the task remembers so many.
 REMEMBERED = 1 << 20
-#: Rounds in which each class meets the leaders of one tree, and leaders that a tree has at most, before all pairs between components.
-STARS, LEADERS = 2, 64
+#: Rounds in which each class meets the leaders of a few trees, how many trees, and leaders that a tree has at most, before all pairs between components.
+STARS, TREES, LEADERS = 4, 3, 64
 #: Points of a tree beyond which it is split into cells, and the most trees that are.
 HOT, HOT_TREES = 8192, 100_000
 #: Bits of the filter that spares texts without candidates the shuffle.
@@ -117,6 +121,30 @@ def signature(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return s[:p]
 
 
+def cuts(n: int) -> list[int]:
+    """Into how many parts (a power of two) a set of n shingles is cut, and one that is a quarter larger."""
+    of = lambda k: 1 << max(0, (k - 1) // PART).bit_length()
+    return sorted({of(n), of(5 * n // 4)})
+
+
+def parts_of(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], list[int], bytes]:
+    """Keys and slots of the signatures of all parts; slots (parts' names), sizes and points of the parts that aren't empty."""
+    keys, whose, slots, sizes, points = [], [], [], [], []
+    for m in cuts(len(s)) if len(s) else []:
+        at = (s & np.uint64(m - 1)).astype(np.int64)
+        for k in range(m):
+            part = s[at == k] if m > 1 else s
+            if len(part):
+                sig = signature(part, common)
+                keys.append(_mix(sig + np.uint64(m)).view(np.int64))
+                whose.append(np.full(len(sig), m + k))
+                slots.append(m + k)
+                sizes.append(len(part))
+                points.append(point(part).tobytes())
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *keys]), np.concatenate([none, *whose]).astype(np.int32), slots, sizes, b"".join(points)
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that recur among the different texts of any window, the most frequent of all documents, sorted; it only sets the order."""
 
@@ -147,19 +175,35 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp, point and signature of every row."""
+    """doc_id, n, fp and fine point of every row; of its parts the slots, sizes and points, and keys and slots of the signatures."""
     common = common_shingles(docs)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for f in frames:
-            sets = [shingles(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "point": [point(s).tobytes() for s in sets], "fine": [fine_point(s) for s in sets], "sig": [signature(s, common).tobytes() for s in sets]})
+            rows = []
+            for doc_id, text in zip(f["doc_id"], f["text"]):
+                s = shingles(text)
+                fp = fingerprint(s)
+                # a task's later rows of a class bring nothing new
+                keys, whose, slots, sizes, points = parts_of(s[:0] if fp in seen else s, common)
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(fp)
+                rows.append((doc_id, len(s), fp, fine_point(s), slots, sizes, points, keys.tobytes(), whose.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "fine", "slots", "sizes", "points", "sig", "whose"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, n long, fp long, point binary, fine binary, sig binary")
+    out = rows.mapInPandas(run, "doc_id string, n long, fp long, fine binary, slots array<int>, sizes array<int>, points binary, sig binary, whose binary")
     return written(out.withColumn("doc_id", F.col("doc_id").cast("long")), "sketch")
 
 
+def class_points(classes: DataFrame) -> DataFrame:
+    """fp, slot, n and point of every part of every class."""
+    rows = classes.select("fp", "sizes", "points", F.posexplode("slots").alias("_i", "slot"))
+    return rows.select("fp", "slot", F.get("sizes", F.col("_i")).cast("long").alias("n"), F.expr(f"substring(points, _i * {GROUPS} + 1, {GROUPS})").alias("point"))
+
+
 def _runs(frames: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """Frames cut between different keys, of rows sorted by key."""
     held: list[pd.DataFrame] = []
@@ -182,38 +226,29 @@ def _runs(frames: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
 
 
 def blocks(sketched: DataFrame) -> DataFrame:
-    """(h, fp) of the signature shingles that two classes or more share."""
+    """(h, fp, slot) of the signature keys that two classes or more share."""
 
     def emit(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
         for f in frames:
-            hs, fps = [], []
-            for fp, sig in zip(f["fp"].tolist(), f["sig"]):
-                if fp in seen:
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(fp)
-                hs.append(np.frombuffer(sig, np.int64))
-                fps.append(np.full(len(hs[-1]), fp))
+            hs = [np.frombuffer(x, np.int64) for x in f["sig"]]
             if hs:
-                yield pd.DataFrame({"h": np.concatenate(hs), "fp": np.concatenate(fps)})
+                yield pd.DataFrame({"h": np.concatenate(hs), "fp": np.repeat(f["fp"].to_numpy(), [len(h) for h in hs]), "slot": np.concatenate([np.frombuffer(x, np.int32) for x in f["whose"]])})
 
     def shared(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, "h"):
-            h, fp = f["h"].to_numpy(), f["fp"].to_numpy()
+            h, fp, slot = f["h"].to_numpy(), f["fp"].to_numpy(), f["slot"].to_numpy()
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
-            h, fp = h[new], fp[new]
+            h, fp, slot = h[new], fp[new], slot[new]
             alike = h[1:] == h[:-1]
             keep = np.zeros(len(h), bool)
             keep[1:] |= alike
             keep[:-1] |= alike
-            yield pd.DataFrame({"h": h[keep], "fp": fp[keep]})
+            yield pd.DataFrame({"h": h[keep], "fp": fp[keep], "slot": slot[keep]})
 
-    rows = sketched.where("n > 0").select("fp", "sig").mapInPandas(emit, "h long, fp long")
+    rows = sketched.where("n > 0").select("fp", "sig", "whose").mapInPandas(emit, "h long, fp long, slot int")
     rows = rows.repartition(spread(sketched.sparkSession), "h").sortWithinPartitions("h", "fp")
-    return written(rows.mapInPandas(shared, "h long, fp long"), "blocks")
+    return written(rows.mapInPandas(shared, "h long, fp long, slot int"), "blocks")
 
 
 def _fits(overlap: np.ndarray, total: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -283,9 +318,9 @@ def _split(rows: DataFrame, key: str, total: int) -> DataFrame:
     return rows.join(F.broadcast(big), key, "left").withColumn("_cells", F.coalesce("_cells", F.lit(1)))
 
 
-def stars(homes: DataFrame, classes: DataFrame, labels: DataFrame | None, total: int, salt: int) -> DataFrame:
-    """Candidates (a, b) of one round: in the tree of its home (fp, h), or a cell of it, each class meets the leaders until one may be its like."""
-    rows = homes.join(classes.select("fp", "n", "point"), "fp")
+def stars(homes: DataFrame, points: DataFrame, labels: DataFrame | None, total: int, salt: int) -> DataFrame:
+    """Candidates (a, b) of one round: in each tree of its homes (fp, slot, h), or a cell of it, a class meets the leaders until one may be its like."""
+    rows = homes.join(points, ["fp", "slot"])
     rows = rows.withColumn("label", F.col("fp")) if labels is None else rows.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     rows = _split(rows, "h", total).withColumn("h", F.xxhash64("h", F.pmod(F.xxhash64(F.lit(salt), "fp"), "_cells"))).drop("_cells")
 
@@ -315,8 +350,8 @@ def stars(homes: DataFrame, classes: DataFrame, labels: DataFrame | None, total:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def between_components(shared: DataFrame, classes: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
-    """All candidates (a, b) of different components, from the trees of shared (h, fp)."""
+def between_components(shared: DataFrame, points: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
+    """All candidates (a, b) of different components, from the trees of shared (h, fp, slot)."""
     spark = shared.sparkSession
     if labels is None:
         rows = shared.withColumn("label", F.col("fp"))
@@ -329,9 +364,9 @@ def between_components(shared: DataFrame, classes: DataFrame, labels: DataFrame
     rows = rows.join(ends.select("h", cells.alias("_cells")), "h")
     own = F.pmod(F.xxhash64("fp"), "_cells")
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_cells") - 1), lambda i: F.struct(F.least(own, i).alias("x"), F.greatest(own, i).alias("y"))))
-    rows = rows.select("h", "fp", "label", "_cells", cell.alias("_c"))
-    rows = rows.withColumn("h", F.when(F.col("_cells") > 1, F.xxhash64("h", "_c.x", "_c.y")).otherwise(F.col("h"))).select("h", "fp", "label")
-    rows = rows.join(classes.select("fp", "n", "point"), "fp")
+    rows = rows.select("h", "fp", "slot", "label", "_cells", cell.alias("_c"))
+    rows = rows.withColumn("h", F.when(F.col("_cells") > 1, F.xxhash64("h", "_c.x", "_c.y")).otherwise(F.col("h"))).select("h", "fp", "slot", "label")
+    rows = rows.join(points, ["fp", "slot"])
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, "h"):
@@ -426,20 +461,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     whole = sketch(docs)
-    classes = whole.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+    # the parts are with the rows of a class that a task met first
+    firsts = [F.max_by(c, F.size("slots")).alias(c) for c in ("slots", "sizes", "points")]
+    classes = whole.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fine").alias("fine"), *firsts)
     classes = written(classes, "classes")
+    points = written(class_points(classes), "points")
     sketched = written(whole.select("doc_id", "n", "fp"), "rows")
     shared = blocks(whole)
     discard(whole)
-    homes = written(shared.groupBy("fp").agg(F.count("*").alias("k"), *[F.min(F.xxhash64(F.lit(r), "h")).alias(f"h{r}") for r in range(STARS)]), "homes")
+    home = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), "h").alias("h"), "slot"))
+    homes = written(shared.groupBy("fp").agg(F.count("*").alias("k"), *[F.array_distinct(F.array(*[home(r * TREES + k) for k in range(TREES)])).alias(f"h{r}") for r in range(STARS)]), "homes")
     release(docs.sparkSession)
     total = shared.count()
     labels = links = None
     for r in [*range(STARS), None]:
         if r is None:
-            found = between_components(shared, classes, labels, total)
+            found = between_components(shared, points, labels, total)
         else:
-            found = stars(homes.select("fp", F.col(f"h{r}").alias("h")), classes, labels, total, r)
+            found = stars(homes.select("fp", F.inline(f"h{r}")), points, labels, total, r)
         pairs = written(found, "pairs")
         release(docs.sparkSession)
         if pairs.limit(1).count():
@@ -450,7 +489,7 @@ def join_components(docs: DataFrame) -> DataFrame:
                     discard(labels)
                 labels = connected_components(links)
         discard(pairs)
-    for used in (shared, homes, *([] if links is None else [links])):
+    for used in (shared, homes, points, *([] if links is None else [links])):
         discard(used)
     if labels is None:
         named = classes.select("fp", F.col("rep").alias("component_id"))

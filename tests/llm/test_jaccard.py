@@ -59,7 +59,7 @@ def corpus(seed=5):
     return rows + [(5000, None), (5001, ""), (None, "a"), (None, "lone null"), (rows[3][0], rows[3][1]), (rows[4][0], "another text of the same id here")]
 
 
-@pytest.mark.parametrize("seed,settings", [(20, {}), (3, {"COMMON_WINDOW": 500, "COMMON": 3, "FAN": 2}), (4, {"STARS": 0, "HOT": 5}), (5, {"LEADERS": 1, "HOT": 3, "FAN": 3})])
+@pytest.mark.parametrize("seed,settings", [(20, {}), (3, {"COMMON_WINDOW": 500, "COMMON": 3, "FAN": 2}), (4, {"STARS": 0, "HOT": 5}), (5, {"LEADERS": 1, "HOT": 3, "FAN": 3}), (6, {"PART": 16}), (7, {"PART": 4, "STARS": 1, "TREES": 1})])
 def test_components(spark, monkeypatch, seed, settings):
     """Whatever the shapes of trees, splits and rounds."""
     for name, value in settings.items():
@@ -116,3 +116,4 @@ def test_bound_never_loses():
         assert jaccard_join.fine_bound(jaccard_join.fine_point(a), jaccard_join.fine_point(b)) >= i
         if 100 * i >= 80 * (len(a) + len(b) - i):
             assert len(np.intersect1d(jaccard_join.signature(a, b[:5]), jaccard_join.signature(b, b[:5])))
+            assert set(jaccard_join.cuts(len(a))) & set(jaccard_join.cuts(len(b)))
