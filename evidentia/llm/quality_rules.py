@@ -7,8 +7,9 @@ A document's score is the mean over its n-grams of log(p_target / p_raw); it is
 scoring is a projection over a folded array literal of ``buckets`` doubles, without shuffle or join.
 
 Defined results: a null text counts as ''; texts without words fail the base rules; repeated rows are each
-judged (and counted) as they stand; an empty corpus gives no rows; without any trusted row every weight is 0 and
-base rules alone decide; a null doc_id never matches a label; extra columns pass through ``score_documents``.
+judged (and counted) as they stand; very long texts are judged whole; an empty corpus gives no rows; without any trusted
+row every weight is 0 and base rules alone decide; a null doc_id never matches a label; extra columns pass through, but
+one named like a result (RESULTS) gives way to it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACE, SPACES, text_of, words_of
+from evidentia.llm.common import SPACES, free_name, text_of, words_of
 
 #: Cells of the hash; also the bound of what the driver gets and the plan carries.
 BUCKETS = 1 << 16
@@ -27,6 +28,7 @@ THRESHOLD = -0.06
 #: Pseudo-counts that every cell has in both multinomials, dealt as in the raw corpus: they draw rare cells to a ratio of 1.
 SMOOTHING = 64.0
 SYMBOLS = "#*$%&|<>"
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -37,25 +39,26 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n >= 3, F.sort_array(hashes))
 
 
-def base_columns(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with _words and the base columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def base_columns(docs: DataFrame, column: str = "text", words: str = "_words") -> DataFrame:
+    """docs with the words (an array column of that name) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = text_of(column)
+    line, window = free_name(docs, "_lines"), free_name(docs, "_windows")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.withColumns({"_words": words_of(text), "_lines": lines})
-    out = out.withColumn("_windows", _repeat_words(F.col("_words")))
-    m = F.size("_windows")
-    near = F.arrays_zip(F.slice("_windows", 1, m - 1).alias("x"), F.slice("_windows", 2, m - 1).alias("y"))
+    out = docs.withColumns({words: words_of(text), line: lines})
+    out = out.withColumn(window, _repeat_words(F.col(words)))
+    m = F.size(window)
+    near = F.arrays_zip(F.slice(window, 1, m - 1).alias("x"), F.slice(window, 2, m - 1).alias("y"))
     same = F.filter(near, lambda p: p["x"]["h"] == p["y"]["h"])
     covered = F.flatten(F.transform(same, lambda p: F.flatten(F.array(*[F.array(*[p[k]["i"] + j for j in range(3)]) for k in "xy"]))))
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.regexp_replace(text, SPACES, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_dup_lines": (F.size(line) - F.size(F.array_distinct(line))).cast("long"),
             "n_repeat_words": F.when(m >= 2, F.size(F.array_distinct(covered))).otherwise(0).cast("long"),
         }
-    ).drop("_lines", "_windows")
+    ).drop(line, window)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -87,14 +90,15 @@ def score_documents(docs: DataFrame, weights: list[float], column: str = "text",
     """docs with the base columns, llr (mean log ratio, null without words) and kept."""
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     buckets = len(weights)
-    out = base_columns(docs, column)
-    n = F.size("_words")
-    uni = F.transform("_words", lambda a: F.get(table, F.pmod(F.xxhash64(a), F.lit(buckets)).cast("int")))
-    zipped = F.arrays_zip(F.slice("_words", 1, n - 1).alias("a"), F.slice("_words", 2, n - 1).alias("b"))
+    words = free_name(docs, "_words")
+    out = base_columns(docs, column, words)
+    n = F.size(words)
+    uni = F.transform(words, lambda a: F.get(table, F.pmod(F.xxhash64(a), F.lit(buckets)).cast("int")))
+    zipped = F.arrays_zip(F.slice(words, 1, n - 1).alias("a"), F.slice(words, 2, n - 1).alias("b"))
     bi = F.transform(zipped, lambda p: F.get(table, F.pmod(F.xxhash64(p["a"], p["b"]), F.lit(buckets)).cast("int")))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     llr = F.when(n == 0, None).when(n == 1, total(uni)).otherwise((total(uni) + total(bi)) / (2 * n - 1))
-    out = out.withColumn("llr", llr).drop("_words")
+    out = out.withColumn("llr", llr).drop(words)
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= threshold))
 
 
