@@ -2,13 +2,15 @@
 
 Pass one scatters records uniformly by seeded hashes: a record's shard is the highest of the rendezvous hashes of
 (seed, doc_id, shard), so one more shard only takes records into itself (the law ``key``); within a shard a second
-seeded hash gives a bucket of about ``bucket_bytes``, so that a bucket fits in memory at every size.  Pass two puts
+seeded hash, of doc_id and text, gives a bucket of about ``bucket_bytes``, so that a bucket fits in memory at every size
+and rows of one doc_id, or without any, are dealt out too.  Each bucket is a partition of its own.  Pass two puts
 a bucket in a fixed order, applies a seeded Fisher-Yates shuffle (Spark's ``shuffle``) and writes it.  Slots number
 a shard's buckets one after the other.  Both passes are DataFrame code.
 
 Defined results: a null text has size 1 and crc32 of '' (0); repeated rows get slots of their own; a null doc_id is hashed as the
-empty key; an empty table gives no rows; other columns are carried into the shards unchanged (names that begin
-with '_s_' are reserved).
+empty key; a very long text is a record like any other; an empty table gives no rows; other columns are carried into
+the shards unchanged (names that begin with '_s_' are reserved), and ``shard`` returns them but for those named like its
+results, which give way.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import fresh_path, text_of
 
 SHARDS, SEED, BUCKET_BYTES = 16, 20240607, 8 << 20
+RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -39,9 +42,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     place = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     scattered = docs.select(
         shard_of(F.col("doc_id"), shards, seed).alias("_s_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), place), F.lit(buckets)).cast("int").alias("_s_bucket"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), place, text_of()), F.lit(buckets)).cast("int").alias("_s_bucket"),
         F.struct(F.xxhash64(F.lit(seed + 2), place).alias("o"), F.xxhash64(text_of()).alias("t"), record.alias("r")).alias("_s_row"),
-    ).repartition(max(1, shards * buckets), "_s_shard", "_s_bucket")
+    ).repartitionById(max(1, shards * buckets), F.col("_s_shard") * buckets + F.col("_s_bucket"))
     # the hash of the place in front gives the fixed order that the seeded shuffle starts from
     held = scattered.groupBy("_s_shard", "_s_bucket").agg(F.sort_array(F.collect_list("_s_row")).alias("_s_rows"))
     held = held.sortWithinPartitions("_s_shard", "_s_bucket").select("_s_shard", "_s_bucket", F.shuffle("_s_rows", F.lit(seed)).alias("_s_rows"))
@@ -66,7 +69,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes:
     back = back.withColumns({"_s_size": (F.octet_length(text_of()) + 1).cast("long"), "_s_crc": F.crc32(text_of().cast("binary")).cast("long")})
     out = back.join(counts, ["_s_shard", "_s_bucket"])
     return out.select(
-        *[c for c in docs.columns],
+        *[c for c in docs.columns if c.lower() not in RESULTS],
         F.col("_s_size").alias("size"),
         F.col("_s_crc").alias("text_crc32"),
         F.lit("key").alias("law"),
