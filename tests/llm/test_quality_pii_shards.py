@@ -95,8 +95,9 @@ def test_pii_base(docs):
 def test_pii_bootstrap_finds_unseen_and_masks(spark):
     rows = [(i, f"please reach agent at user{i}@mail.example.com today") for i in range(9)] + [(20, "please reach agent at user77@localhost today"), (21, "nothing at room 12 here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    # the same context and another shape isn't the same pattern
-    assert all("," not in r.spans for r in pii.digest(docs).collect())
+    # the same context finds another shape
+    got = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
+    assert got[20] == "email:22:38" and got[3] == "email:22:44" and got[21] == ""
     rows = [(i, f"call desk 10.0.0.{i} now") for i in range(9)] + [(30, "call desk 300.0.0.7 now"), (31, "call desk 300.0.0.7 now"), (32, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
@@ -106,6 +107,45 @@ def test_pii_bootstrap_finds_unseen_and_masks(spark):
     assert pii.digest(docs.limit(0)).count() == 0
 
 
+def test_pii_found_values_lift_new_patterns(spark):
+    """Identifiers found in one context make another context a pattern, which finds identifiers that the first never shows."""
+    rows = [(i, f"call desk 10.0.0.{i} now") for i in range(100)] + [(100 + i, f"call desk 300.0.0.{i} now") for i in range(9)]
+    rows += [(200 + i, f"old host 300.0.0.{i} down") for i in range(9)] + [(300, "old host 301.9.9.9 down"), (301, "old room 301.9.9.9 down")]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[102] == "ip:10:19" and got[201] == "ip:9:18" and got[300] == "ip:9:18" and got[301] == ""
+
+
+def test_pii_own_vote_does_not_count(spark):
+    """A context with one seed in four confirms nothing by its own tokens."""
+    rows = [(i, f"item code 10.0.0.{i} here") for i in range(3)] + [(10 + i, f"item code A{i}B{i}C{i}X here") for i in range(9)]
+    assert all("," not in r.spans and (r.spans == "") == (r.doc_id >= 10) for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_pii_long_texts_are_linear(spark):
+    import time
+
+    docs = spark.createDataFrame([(0, "1.2 " + "7" * 200_000), (1, "1.1." * 50_000), (2, "a1" * 100_000 + "@")], "doc_id long, text string")
+    start = time.time()
+    assert len(pii.digest(docs).collect()) == 3 and time.time() - start < 60
+
+
+def test_quality_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a " * 60, "x", "y", "z", None)], "doc_id long, text string, kept string, _words string, _lines string, llr string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    r = quality_rules.quality_rules(docs, labels).collect()[0]
+    assert r.kept in (True, False) and r.n_words == 60 and (r["_words"], r["_lines"]) == ("y", "z")
+
+
+def test_shards_deal_out_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, f"{i} " + "x" * 200, i, "s") for i in range(3000)], "doc_id long, text string, shard int, slot string")
+    got = sharding.shard(docs, bucket_bytes=4096)
+    assert got.columns == ["doc_id", "text", *sharding.RESULTS]
+    rows = got.collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(3000)) and all(r["size"] == len(r.text) + 1 for r in rows)
+    back = sharding.write_shards(docs, sharding.fresh_path(spark, "t"), bucket_bytes=4096)
+    assert max(r["count"] for r in back.groupBy("_s_bucket").count().collect()) < 400
+
+
 @pytest.mark.parametrize("bucket_bytes", [1 << 20, 64])
 def test_shards(spark, docs, bucket_bytes):
     got = sharding.shard(docs, bucket_bytes=bucket_bytes).collect()
