@@ -14,11 +14,12 @@ from evidentia.llm.common import table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the log-likelihood ratio.
+    """Documents that pass the base rules and the log-likelihood ratio, with the columns that they had, whatever their names.
 
     The row number keeps the filter above the projection: pushed into it, the whole score would be computed anew for each of its uses."""
-    judged = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).withColumn("_n", F.monotonically_increasing_id())
-    return judged.where("kept and _n >= 0").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    judged = quality_rules.quality_rules(rows, table(spark, sf_dir, "labels")).withColumn("number", F.monotonically_increasing_id())
+    return judged.where("kept and number >= 0").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: Seeded 64-bit hashes and heap-merged BPE ids have no SQL form; tests hold run() against plain Python.
+#: Seeded 64-bit hashes and heap-merged BPE ids have no SQL form; tests hold run() against plain steps.
 ORACLE_SQL = None
 
 
