@@ -14,12 +14,13 @@ corners of bounding boxes, the sum for all pairs of two R-tree nodes.
    each part has a signature and a point of its own.  Sets of sizes that may link are cut alike: a set is also cut as
    one a quarter larger would be.
 2. Documents with equal sets are one class, and only classes go on.
-3. In STARS rounds each class is in TREES trees only, those of some shared shingles of its signature, and meets the
-   leaders of each; survivors of the bound are verified on the sets, and components formed.  So thousands of near copies
+3. In STARS rounds each part is in TREES trees only, its homes: the shared keys of its signature with the least seeded
+   hashes, which near copies mostly have in common.  There it meets the leaders; survivors of the bound are verified on the sets, and components formed.  So thousands of near copies
    become one component at the cost of a few pairs each.
 4. Then every shingle's points that aren't all of one component form an R-tree, whose nodes hold few components each;
    pairs of nodes are descended where their corners' minima allow a link between components, and all surviving pairs of
-   points are verified.  No link that matters to the components is left out.
+   points are verified.  Of points with a home in common only that home's tree gives the pair, so that a pair of which
+   many trees hold both is given once or a few times.  No link that matters to the components is left out.
 
 Defined results: null and wordless texts have no shingles and link with nothing; texts of fewer than five words are
 one shingle; the component of rows is their smallest non-null doc_id (null if all are null); repeated rows are copies; an empty
@@ -49,7 +50,7 @@ COMMON, COMMON_WINDOW, COMMON_MOST = 8, 1 << 22, 200_000
 #: A class is sketched once a task while the task remembers so many.
 REMEMBERED = 1 << 20
 #: Rounds in which each class meets the leaders of a few trees, how many trees, and leaders that a tree has at most, before all pairs between components.
-STARS, TREES, LEADERS = 4, 3, 64
+STARS, TREES, LEADERS = 2, 3, 64
 #: Points of a tree beyond which it is split into cells, and the most trees that are.
 HOT, HOT_TREES = 8192, 100_000
 #: Bits of the filter that spares texts without candidates the shuffle.
@@ -350,7 +351,13 @@ def stars(homes: DataFrame, points: DataFrame, labels: DataFrame | None, total:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def between_components(shared: DataFrame, points: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
+def _given_here(x: np.ndarray, y: np.ndarray, key: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    """Of candidates in the trees of some keys: those whose first common home is that tree, or that have none in common."""
+    same = homes[x] == homes[y]
+    return ~same.any(axis=1) | (homes[x, same.argmax(axis=1)] == key[x])
+
+
+def between_components(shared: DataFrame, points: DataFrame, homes: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
     """All candidates (a, b) of different components, from the trees of shared (h, fp, slot)."""
     spark = shared.sparkSession
     if labels is None:
@@ -364,28 +371,28 @@ def between_components(shared: DataFrame, points: DataFrame, labels: DataFrame |
     rows = rows.join(ends.select("h", cells.alias("_cells")), "h")
     own = F.pmod(F.xxhash64("fp"), "_cells")
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("_cells") - 1), lambda i: F.struct(F.least(own, i).alias("x"), F.greatest(own, i).alias("y"))))
-    rows = rows.select("h", "fp", "slot", "label", "_cells", cell.alias("_c"))
-    rows = rows.withColumn("h", F.when(F.col("_cells") > 1, F.xxhash64("h", "_c.x", "_c.y")).otherwise(F.col("h"))).select("h", "fp", "slot", "label")
-    rows = rows.join(points, ["fp", "slot"])
+    rows = rows.select("h", F.col("h").alias("key"), "fp", "slot", "label", "_cells", cell.alias("_c"))
+    rows = rows.withColumn("h", F.when(F.col("_cells") > 1, F.xxhash64("h", "_c.x", "_c.y")).otherwise(F.col("h"))).select("h", "key", "fp", "slot", "label")
+    rows = rows.join(points.join(homes, ["fp", "slot"]), ["fp", "slot"])
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, "h"):
-            h, fp, n, label = (f[c].to_numpy() for c in ("h", "fp", "n", "label"))
-            points = unpacked(list(f["point"]))
+            h, key, fp, n, label = (f[c].to_numpy() for c in ("h", "key", "fp", "n", "label"))
+            points, home = unpacked(list(f["point"])), np.stack(f["homes"].to_list())
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
             k = np.diff(starts)
-            small = np.repeat(k <= FAN, k)
-            at = np.flatnonzero(small)
-            out = [(fp[at[x]], fp[at[y]]) for x, y in _within(h[at], n[at], label[at], points[at])]
+            at = np.flatnonzero(np.repeat(k <= FAN, k))
+            out = [(at[x], at[y]) for x, y in _within(h[at], n[at], label[at], points[at])]
             for s, e in zip(starts[:-1][k > FAN].tolist(), starts[1:][k > FAN].tolist()):
-                mine = fp[s:e]
-                out += [(mine[x], mine[y]) for x, y in RTree(points[s:e], n[s:e], label[s:e]).candidates()]
+                out += [(s + x, s + y) for x, y in RTree(points[s:e], n[s:e], label[s:e]).candidates()]
             if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
+                x, y = (np.concatenate(v) for v in zip(*out))
+                here = _given_here(x, y, key, home)
+                a, b = fp[x[here]], fp[y[here]]
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield pd.DataFrame(pairs, columns=["a", "b"])
 
-    dealt = rows.select("h", "fp", "n", "point", "label").repartition(spread(spark), "h").sortWithinPartitions("h", "fp")
+    dealt = rows.select("h", "key", "fp", "n", "point", "label", "homes").repartition(spread(spark), "h").sortWithinPartitions("h", "fp")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -469,16 +476,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     sketched = written(whole.select("doc_id", "n", "fp"), "rows")
     shared = blocks(whole)
     discard(whole)
-    home = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), "h").alias("h"), "slot"))
-    homes = written(shared.groupBy("fp").agg(F.count("*").alias("k"), *[F.array_distinct(F.array(*[home(r * TREES + k) for k in range(TREES)])).alias(f"h{r}") for r in range(STARS)]), "homes")
+    home = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), "h").alias("o"), "h"))["h"]
+    homes = written(shared.groupBy("fp", "slot").agg(F.array(*[home(k) for k in range(max(1, STARS * TREES))]).alias("homes")), "homes")
     release(docs.sparkSession)
     total = shared.count()
     labels = links = None
     for r in [*range(STARS), None]:
         if r is None:
-            found = between_components(shared, points, labels, total)
+            found = between_components(shared, points, homes, labels, total)
         else:
-            found = stars(homes.select("fp", F.inline(f"h{r}")), points, labels, total, r)
+            found = stars(homes.select("fp", "slot", F.explode(F.array_distinct(F.slice("homes", r * TREES + 1, TREES))).alias("h")), points, labels, total, r)
         pairs = written(found, "pairs")
         release(docs.sparkSession)
         if pairs.limit(1).count():
