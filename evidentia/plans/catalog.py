@@ -200,7 +200,7 @@ def html_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", F.array_join(fields.markers(F.col("html"), ("data", "the", "page", "recebimento")), ",").alias("words"))
 
 
-from evidentia.plans import date_queries, decision_queries, evidence_queries, lookup_queries, pixel_queries, region_queries, report_queries, request_queries, text_queries  # noqa: E402, F401  their queries register themselves
+from evidentia.plans import date_queries, decision_queries, evidence_queries, lookup_queries, pixel_queries, region_queries, report_queries, request_queries, sync_queries, text_queries  # noqa: E402, F401  their queries register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
