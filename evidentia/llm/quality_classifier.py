@@ -1,12 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, word pairs and byte n-grams of 3 to 5 (within the whole text, case kept) are hashed into ``buckets`` rows of an
-embedding matrix; a document is the mean of its rows, a softmax over two classes gives its score.  The matrix and the
-output layer are trained by stochastic gradient descent in numpy on at most ``max_labelled`` labelled rows, the ones whose seeded hash is
-smallest.  Since the output is linear in the mean, scoring needs one number a bucket, and runs over all rows without a shuffle.
-
-Defined results: null texts count as ''; texts without features get the output layer's bias; without labels every
-score is 0.5; rows of one doc_id with several labels count with the largest; a null label or doc_id isn't learned from; repeated rows
+Words, word pairs and character n-grams of 3 to 5 (over the whole text, since what stands beside white space and breaks
+tells much; case kept) are hashed into ``buckets`` rows of an embedding matrix; a document is the mean of its rows, a
+softmax over two classes gives its score.  The matrix and the output layer are trained by stochastic gradient descent in
+numpy on at most ``max_labelled`` labelled rows, the ones whose seeded hash is smallest.  Since the output is linear in
+the mean, scoring needs one number a bucket, and runs over all rows without a shuffle.
+
+Defined results: null texts count as ''; very long texts are scored whole; other columns are not read; texts without words
+get the output layer's bias; without labels every score is 0.5; rows of one doc_id with several labels count with the largest; a null label or doc_id isn't learned from; repeated rows
 get equal scores; an empty table gives no rows.
 """
 
@@ -31,32 +32,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def features(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the words, word pairs and byte n-grams of a text."""
-    b = np.frombuffer(b" " + text + b" ", np.uint8)
-    if len(text) == 0:
-        return np.zeros(0, np.int64)
-    wide = b.astype(np.uint64) + np.uint64(1)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
+def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """Buckets of the words, word pairs and character n-grams of a text."""
+    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    wide = c.astype(np.uint64) + np.uint64(1)
+    space = (c == 32) | ((c >= 9) & (c <= 13))
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    out = []
-    if len(starts):
-        # hash of a word: sum of its bytes' values, each mixed with its place in the word
-        place = np.arange(len(b), dtype=np.int64)
-        place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(b)]])))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(wide + place.astype(np.uint64) * _M))])
-        w = _mix(sums[ends] - sums[starts])
-        out += [w, _mix(w[:-1] * _M + w[1:])]
-    h = wide.copy()
+    if len(starts) == 0:
+        return np.zeros(0, np.int64)
+    # hash of a word: sum of its characters' values, each mixed with its place in the word
+    place = np.arange(len(c), dtype=np.int64)
+    place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(c)]])))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(wide + place.astype(np.uint64) * _M))])
+    w = _mix(sums[ends] - sums[starts])
+    out = [w, _mix(w[:-1] * _M + w[1:])]
+    h = wide
     for n in range(2, 6):
-        h = h[:-1] * _M + wide[n - 1 :] if len(h) > 1 else h[:0]
-        if n >= 3 and len(h):
+        if len(h) < 2:
+            break
+        h = h[:-1] * _M + wide[n - 1 :]
+        if n >= 3:
             out.append(_mix(h + np.uint64(n)))
-    return (np.concatenate(out) % np.uint64(buckets)).astype(np.int64) if out else np.zeros(0, np.int64)
+    return (np.concatenate(out) % np.uint64(buckets)).astype(np.int64)
 
 
-def train(texts: list[bytes], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
     """One number a bucket and a bias: the logit of label 1 is the bias plus the mean of the numbers of a text's buckets."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
@@ -87,13 +88,13 @@ def train(texts: list[bytes], labels: list[int], buckets: int = BUCKETS, dim: in
     return (table @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = MAX_LABELLED, seed: int = SEED) -> tuple[list[bytes], list[int]]:
+def labelled_texts(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = MAX_LABELLED, seed: int = SEED) -> tuple[list[str], list[int]]:
     """At most max_labelled labelled texts, by a seeded hash of doc_id; the bound is what the driver and the broadcast hold."""
     chosen = labels.where("doc_id is not null and quality is not null").where(usable).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"].encode() for r in rows], [int(r["quality"]) for r in rows]
+    return [r["text"] for r in rows], [int(r["quality"]) for r in rows]
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,7 +102,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float =
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            z = np.array([bias + (weights[i].mean() if len(i := features(t.encode(), len(weights))) else 0.0) for t in f["text"]])
+            z = np.array([bias + (weights[i].mean() if len(i := features(t, len(weights))) else 0.0) for t in f["text"]])
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": p, "predicted": (p >= threshold).astype(np.int32)})
 

@@ -59,7 +59,7 @@ def corpus(seed=5):
     return rows + [(5000, None), (5001, ""), (None, "a"), (None, "lone null"), (rows[3][0], rows[3][1]), (rows[4][0], "another text of the same id here")]
 
 
-@pytest.mark.parametrize("seed,settings", [(20, {}), (3, {"COMMON_WINDOW": 500, "COMMON": 3, "FAN": 2}), (4, {"STARS": 0, "HOT": 5}), (5, {"LEADERS": 1, "HOT": 3, "FAN": 3}), (6, {"PART": 16}), (7, {"PART": 4, "STARS": 1, "TREES": 1})])
+@pytest.mark.parametrize("seed,settings", [(20, {}), (3, {"COMMON_WINDOW": 500, "COMMON": 3, "FAN": 2, "PART": 16}), (4, {"STARS": 0, "HOT": 5}), (5, {"LEADERS": 1, "HOT": 3, "FAN": 3, "PART": 4, "STARS": 1, "TREES": 1})])
 def test_components(spark, monkeypatch, seed, settings):
     """Whatever the shapes of trees, splits and rounds."""
     for name, value in settings.items():
@@ -71,6 +71,14 @@ def test_components(spark, monkeypatch, seed, settings):
     assert got == sorted(brute(rows), key=key)
 
 
+def test_pairs_are_given_once():
+    """By the tree of their first common home; pairs without one by every tree."""
+    homes = np.array([[7, 8], [7, 9], [5, 8], [6, 6]])
+    x, y = np.array([0, 0, 1]), np.array([1, 2, 3])
+    for key, want in ((7, [True, False, True]), (8, [False, True, True]), (9, [False, False, True])):
+        assert jaccard_join._given_here(x, y, np.full(4, key), homes).tolist() == want
+
+
 def test_tree_finds_all_pairs():
     rnd = np.random.default_rng(1)
     base = [np.unique(rnd.integers(0, 1 << 60, 150).astype(np.uint64)) for _ in range(20)]

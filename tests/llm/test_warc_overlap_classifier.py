@@ -113,3 +113,25 @@ def test_classifier_edges(spark):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (4, None, 0), (None, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality_classifier.classify(docs, labels).collect()
     assert len(got) == 7 and got[2].score == got[4].score and quality_classifier.classify(docs.limit(0), labels).count() == 0
+
+
+def test_features_against_loops():
+    """Words, pairs and character n-grams of a text, each hashed as the arrays do."""
+    mask = (1 << 64) - 1
+    m = int(quality_classifier._M)
+
+    def mix(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    for text in ("", " ", "a", "Ab c\nd", "ñandú 漢字 🙂 x" * 3):
+        c = [ord(x) + 1 for x in f" {text} "]
+        words = [mix(sum(mix(ord(x) + 1 + k * m & mask) for k, x in enumerate(w)) & mask) for w in text.split()]
+        want = words + [mix(a * m + b & mask) for a, b in zip(words, words[1:])]
+        for n in (3, 4, 5) if words else ():
+            for i in range(len(c) - n + 1):
+                h = c[i]
+                for x in c[i + 1 : i + n]:
+                    h = h * m + x & mask
+                want.append(mix(h + n & mask))
+        assert sorted(quality_classifier.features(text, 1 << 20).tolist()) == sorted(w % (1 << 20) for w in want), text
