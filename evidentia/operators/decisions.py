@@ -80,6 +80,7 @@ def structure() -> Column:
 def business_score() -> Column:
     """Total and its parts, and which ways to approval are open."""
     date, header, nfe, nf_conf = _is("date_found"), _is("header_found"), _is("nfe_found"), _unit("nf_conf")
+    # fixed values: points of the number, the template and of what agrees
     parts = {k: r2(F.lit(float(w)) * _unit(f"{k}_conf")) for k, w in WEIGHTS.items()}
     parts["number"] = F.when(_has_nf(), r2(nf_conf * 34)).otherwise(r2(F.least(nf_conf, F.lit(0.45)) * 10))
     parts["template"] = F.when(_is("template_matched"), 8.0).otherwise(r2(F.least(F.lit(1.0), _num("geometry_score")) * 8))
@@ -120,6 +121,7 @@ def classify(header: str, company: str, score: str = "score", status: str = "sta
         (_has_nf() & (_unit("nf_conf") < VALID_NF), says("nf_weak")), (_is("lookup_found") & ~template, says("origin_lookup")),
         (~(_is("lookup_found") & ~template) & (F.col("lookup_reason") == "invoice_not_found") & _has_nf(), says("not_in_base")),
     )
+    # fixed values: names of actions
     actions = F.when(name == "valid", F.array(F.lit("seguir_para_integracao_api"))).when(way == "review", F.array(F.lit("revisar_manual"), F.lit("avaliar_nova_foto")))
     actions = actions.when(way == "rejected", F.array(F.lit("solicitar_fundo_escuro"), F.lit("responder_no_whatsapp"))).otherwise(F.array(F.lit("solicitar_novo_envio"), F.lit("responder_no_whatsapp")))
     return F.struct(name.alias("class"), way.alias("way"), why.alias("reasons"), actions.alias("actions"), (name != "valid").alias("reply"))
@@ -139,6 +141,7 @@ def operational(fields: dict[str, str], valid: float = 0.82, review: float = 0.5
     soft = F.lit(one_missing) & alone & found["number"] & (average >= average_least) & strong("number") & other
     good = ((missing == 0) & (average >= valid) & (found["header"] | F.lit(headless))) | soft
     name = ladder((good, "valid"), (missing >= invalid_from, "invalid"), default="review")
+    # fixed values: the reason for a missing field
     why = [(~found[k], f"Campo obrigatorio ausente: {fields[k]}.") for k in needed]
     why += [((name == "review") & (average < review), TEXTS["low_average"]), (~found["header"] & F.lit(headless), TEXTS["header_allowed"]), (soft, TEXTS["soft"])]
     lacking = F.lit(False)
@@ -175,6 +178,7 @@ def alert(source_label: Column) -> Column:
     """(code, severity, message) for a document that isn't delivered."""
     key = t.business_key(F.col("nf"))
     code = ladder((key == "", "RECEIPT_UNREADABLE_IMAGE"), (F.col("lookup_found") == F.lit(False), "NF_NOT_FOUND_UPLOAD_ATTEMPT"), (F.lower("class") == "review", "RECEIPT_MANUAL_REVIEW_REQUIRED"), default="RECEIPT_UNREADABLE_IMAGE")
+    # fixed values: alerts' messages
     message = (
         F.when(key == "", F.format_string("O bot recebeu uma imagem em %s, mas nao conseguiu identificar a NF.", source_label))
         .when(code == "NF_NOT_FOUND_UPLOAD_ATTEMPT", F.format_string("A NF %s foi lida em %s, mas nao existe na base operacional da empresa.", key, source_label))
@@ -212,6 +216,7 @@ def caption_approves() -> Column:
 def template_score() -> Column:
     """(score, matched) from geometry_score, header_conf, date_conf, nfe_conf and nfe_found."""
     g, h, d, n = (_num(c) for c in ("geometry_score", "header_conf", "date_conf", "nfe_conf"))
+    # fixed values: weights and what matches
     score = r2(g * 38 + h * 22 + d * 18 + n * 22 + F.when(_is("nfe_found"), 6.0).otherwise(0.0))
     matched = ((g >= 0.52) & (n >= 0.55)) | ((score >= 58) & (g >= 0.5)) | ((g >= 0.56) & (h >= 0.48) & (d >= 0.42))
     return F.struct(score.alias("score"), matched.alias("matched"))

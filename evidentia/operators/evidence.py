@@ -74,7 +74,7 @@ def fuzzy_digits(token: str) -> tuple[str, int, int, int]:
 
 
 def subsequences(digits: str, size: int) -> list[str]:
-    """Distinct subsequences of so many digits, leftmost first."""
+    """Distinct subsequences of so many digits, leftmost first; callers give at most two digits more, so 36 of seven out of nine."""
     return list(dict.fromkeys(map("".join, combinations(digits, size))))
 
 
@@ -202,6 +202,7 @@ def _scored(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     direct, fuzzy, over = F.col("method").isin("nf_context_number", "number_context_nf"), _has("method", "fuzzy"), _has("method", "overflow")
     inherited_nf, inherited_one = ~F.col("b.nfe") & near("nfe"), ~F.col("b.series_one") & near("series_one")
     short, expected = F.length("searchable") <= 44, size.isin(*sizes)
+    # fixed values: points of a candidate's score, in the order in which they are added
     score = _sum(
         F.coalesce("confidence", F.lit(0.0)) / 100 * 0.22, source_bonus(), _if(nfe, 0.14), _if(number, 0.12),
         F.when(one, 0.16).when(F.col("found_series"), 0.07).otherwise(0.0), _if(inherited_nf, 0.05), _if(inherited_one, 0.07),
@@ -249,6 +250,7 @@ def consensus(found: DataFrame, texts: int = 6) -> DataFrame:
     strong = (F.col("support_count") >= STRONG_SOURCES) & (F.col("roi_support_count") >= 2)
     more = lambda c, step, most: F.least(F.lit(most), F.greatest(F.lit(0), F.col(c) - 1) * step)
     contextless = ~(nfe | number | one)
+    # fixed values: points that a consensus adds, in order
     score = _sum(
         F.col("top"), more("support_count", 0.05, 0.15), more("roi_support_count", 0.05, 0.15), more("variant_support_count", 0.04, 0.12),
         F.when(anchored, 0.14).when(nfe & number, 0.06).when(nfe | one, 0.03).otherwise(0.0), _if(dominant, 0.12),

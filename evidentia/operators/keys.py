@@ -43,7 +43,7 @@ def unique_rescue(missing: DataFrame, reference: DataFrame, doc: str, digits: in
 
 
 def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    """One row a key, the first in the order."""
+    """One row a key, the first in the order.  Each task keeps one row a key before the shuffle (Spark's limit of window groups), so a hot key is no load."""
     return rows.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_i = 1").drop("_i")
 
 
