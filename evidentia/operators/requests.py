@@ -225,3 +225,41 @@ def recognised_tuples(items: Column) -> Column:
     good = F.filter(items, lambda i: F.size(i) >= 3)
     rows = F.transform(good, lambda i: F.struct(F.trim(F.element_at(i, 2)).alias("text"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.element_at(i, 3).try_cast("double"), F.lit(0.0)))).alias("confidence")))
     return F.filter(rows, lambda r: F.coalesce(r["text"], F.lit("")) != "")
+
+
+# Names of one thing in messages' metadata, the first that is given counts.
+ALIASES = {"group_id": ("groupId", "chatId"), "text": ("text", "caption", "body"), "sender": ("senderName", "sender"), "message_id": ("messageId", "id")}
+
+
+def aliased(meta: Column) -> Column:
+    """Metadata under one name each, null where no alias is given."""
+    of = lambda names: _first([F.trim(t.text(F.try_element_at(meta, F.lit(k)))) for k in names])
+    return F.struct(*[of(names).alias(k) for k, names in ALIASES.items()])
+
+
+def hydrated(extraction: Column, candidate: Column, kept: tuple[str, ...] = ("origin",)) -> Column:
+    """An extraction with a candidate's values over its own (structs with equal fields); without candidate as it is.  ``kept`` values stay where the candidate has none."""
+    names = ("nf", "confidence", "method", *kept)
+    return F.struct(*[F.when(candidate.isNull(), extraction[k]).otherwise(F.coalesce(candidate[k], extraction[k]) if k in kept else candidate[k]).alias(k) for k in names])
+
+
+# Contexts of a number in plain recognised text.
+SCRIPT_CONTEXTS = (r"(?:nf|nfe|nota fiscal)[^0-9]{0,24}([0-9]{6,9})", r"(?:numero|no|nro)[^0-9]{0,12}([0-9]{6,9})")
+
+
+def script_numbers(text: Column) -> Column:
+    """Numbers of 6 to 9 digits of a text: those in a context, then bare ones, each once."""
+    s = t.searchable(text)
+    found = [F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in SCRIPT_CONTEXTS]
+    bare = F.regexp_extract_all(t.text(text), F.lit(r"(?<![0-9])([0-9]{6,9})(?![0-9])"), F.lit(1))
+    return F.array_distinct(F.concat(*found, bare))
+
+
+def shape(points: Column) -> Column:
+    """(mean, median, p90) of an array of numbers by nearest rank among places; zeros of nothing."""
+    s = F.sort_array(points)
+    n = F.size(points)
+    at = lambda share: F.get(s, F.floor((n - 1) * share + 0.5).cast("int"))
+    mean = F.aggregate(points, F.lit(0.0), lambda a, x: a + x) / n
+    zero = lambda c: F.when(F.coalesce(n, F.lit(0)) > 0, c).otherwise(0.0)
+    return F.struct(zero(mean).alias("mean"), zero(at(0.5)).alias("median"), zero(at(0.9)).alias("p90"))

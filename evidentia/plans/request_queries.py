@@ -146,3 +146,25 @@ def recognised_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = rq.polygon(F.when(key % 4 == 0, F.array(point(F.lit(1.0)), point(F.lit(2.0)))).otherwise(empty), F.when(key % 4 == 1, F.array(point(F.lit(1.0)), point(F.lit(float("nan"))))), F.when(key % 4 == 2, F.array(point(F.lit(3.0)))))
     tuples = rq.recognised_tuples(F.array(F.array(F.lit("box"), F.lit(" x "), F.when(key % 5 == 0, "7").otherwise("-1")), F.array(F.lit("box"), F.lit("short")), F.array(F.lit("b"), F.lit(" "), F.lit("1"))))
     return _orders(spark, sf_dir).select("o_orderkey", told(lines).alias("lines"), told(words).alias("words"), F.size(pts).cast("long").alias("points"), told(tuples).alias("tuples"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'g' || o_orderkey WHEN 1 THEN 'c' || o_orderkey END AS group_id, CASE o_orderkey % 4 WHEN 0 THEN 't' WHEN 1 THEN 'k' WHEN 2 THEN 'b' END AS text, CASE WHEN o_orderkey % 5 = 0 THEN 'base' ELSE 'cand' END AS nf, CASE WHEN o_orderkey % 5 = 0 THEN 'roi' WHEN o_orderkey % 2 = 0 THEN 'roi' ELSE 'support' END AS origin,
+  CASE o_orderkey % 3 WHEN 0 THEN lpad((o_orderkey % 999999)::VARCHAR, 6, '1') || ',' || lpad((o_orderkey % 9999999)::VARCHAR, 7, '2') WHEN 1 THEN lpad((o_orderkey % 9999999)::VARCHAR, 7, '2') ELSE '' END AS numbers FROM orders""")
+def aliases_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata under one name, extractions with a candidate over them, numbers of plain texts."""
+    key = F.col("o_orderkey")
+    entry = lambda n, of, k, v: F.struct(F.when(key % n == of, k).alias("key"), v.alias("value"))
+    meta = F.map_from_entries(F.filter(F.array(entry(3, 0, "groupId", F.concat(F.lit("g"), key)), entry(3, 1, "chatId", F.concat(F.lit(" c"), key)), entry(4, 0, "text", F.lit("t")), entry(4, 1, "caption", F.lit("k ")), entry(4, 2, "body", F.lit("b"))), lambda e: e["key"].isNotNull()))
+    row = lambda nf, origin: F.struct(F.lit(nf).alias("nf"), F.lit(0.5).alias("confidence"), F.lit("m").alias("method"), origin.alias("origin"))
+    own, other = row("base", F.lit("roi")), F.when(key % 5 != 0, row("cand", F.when(key % 2 != 0, "support")))
+    six, seven = F.lpad((key % 999999).cast("string"), 6, "1"), F.lpad((key % 9999999).cast("string"), 7, "2")
+    text = F.when(key % 3 == 0, F.concat(seven, F.lit(" e a NF-e: "), six)).when(key % 3 == 1, F.concat(F.lit("12345 "), seven, F.lit(" 1234567890"))).otherwise("none 12")
+    rows = _orders(spark, sf_dir).select("o_orderkey", rq.aliased(meta).alias("m"), rq.hydrated(own, other).alias("h"), F.array_join(rq.script_numbers(text), ",").alias("numbers"))
+    return rows.select("o_orderkey", "m.group_id", "m.text", "h.nf", "h.origin", "numbers")
+
+
+@query("""WITH s AS (SELECT l_orderkey, list_sort(list(l_quantity)) AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, list_sum(q) / n AS mean, q[floor((n - 1) * 0.5e0 + 0.5)::INT + 1] AS median, q[floor((n - 1) * 0.9e0 + 0.5)::INT + 1] AS p90 FROM s""")
+def shapes_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and places of small sets of numbers."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
+    return rows.select("l_orderkey", rq.shape(F.col("q")).alias("s")).select("l_orderkey", "s.*")
