@@ -3,7 +3,7 @@
 Pass one scatters records uniformly by seeded hashes: a record's shard is the highest of the rendezvous hashes of
 (seed, doc_id, shard), so one more shard only takes records into itself (the law ``key``); within a shard a second
 seeded hash, of doc_id and text, gives a bucket of about ``bucket_bytes``, so that a bucket fits in memory at every size
-and rows of one doc_id, or without any, are dealt out too.  Each bucket is a partition of its own.  Pass two puts
+and rows of one doc_id, or without any, are dealt out too.  Pass two puts
 a bucket in a fixed order, applies a seeded Fisher-Yates shuffle (Spark's ``shuffle``) and writes it.  Slots number
 a shard's buckets one after the other.  Both passes are DataFrame code.
 
@@ -44,7 +44,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
         shard_of(F.col("doc_id"), shards, seed).alias("_s_shard"),
         F.pmod(F.xxhash64(F.lit(seed + 1), place, text_of()), F.lit(buckets)).cast("int").alias("_s_bucket"),
         F.struct(F.xxhash64(F.lit(seed + 2), place).alias("o"), F.xxhash64(text_of()).alias("t"), record.alias("r")).alias("_s_row"),
-    ).repartitionById(max(1, shards * buckets), F.col("_s_shard") * buckets + F.col("_s_bucket"))
+    ).repartition(max(1, shards * buckets), "_s_shard", "_s_bucket")
     # the hash of the place in front gives the fixed order that the seeded shuffle starts from
     held = scattered.groupBy("_s_shard", "_s_bucket").agg(F.sort_array(F.collect_list("_s_row")).alias("_s_rows"))
     held = held.sortWithinPartitions("_s_shard", "_s_bucket").select("_s_shard", "_s_bucket", F.shuffle("_s_rows", F.lit(seed)).alias("_s_rows"))
