@@ -6,7 +6,7 @@ small static tables, joined by their ids.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as t
@@ -131,12 +131,13 @@ def number_sources(ranked: DataFrame, available: DataFrame, phase: str = "primar
 
     ranked: image, orientation, rank; available: image, orientation, ord, variant, id."""
     most = 2 if fast or phase != "primary" else 3
-    listed = available.groupBy("image", "orientation").agg(F.min("ord").alias("ord"))
-    order = listed.join(ranked, ["image", "orientation"], "full").select("image", "orientation", F.struct(F.col("rank").isNull().alias("n"), F.coalesce("rank", "ord").alias("i"), "orientation").alias("o"))
-    tops = order.groupBy("image").agg(F.slice(F.sort_array(F.collect_list("o")), 1, most).alias("t"))
-    rows = tops.select("image", F.posexplode("t").alias("place", "t")).select("image", "place", F.col("t.orientation").alias("orientation"))
+    rows = available.select("image", "orientation", "ord", "variant", "id", F.lit(True).alias("listed")).unionByName(ranked.select("image", "orientation", "rank"), allowMissingColumns=True)
+    rows = rows.where(F.col("image").isNotNull()).repartition("image")  # one shuffle for all; a join might send the listed variants, many times their table's size, to the driver for a broadcast
+    one = Window.partitionBy("image", "orientation")
+    rows = rows.withColumns({"rank": F.min("rank").over(one), "ord": F.min("ord").over(one)})
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("image").orderBy(F.col("rank").isNull(), F.coalesce("rank", "ord"), "orientation")) - 1)
     wanted = F.col("variant").isin("document_gray", "document_ink_clean") | ((F.col("variant") == "document_binary") & (F.col("place") == 0))
-    return available.join(rows, ["image", "orientation"]).where(wanted).select("image", "id", "place", "variant")
+    return rows.where((F.col("place") < most) & F.col("listed") & F.col("orientation").isNotNull() & wanted).select("image", "id", "place", "variant")
 
 
 def focus_variant(variant: Column) -> Column:
