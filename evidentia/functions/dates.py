@@ -27,7 +27,8 @@ def artifact_variants(digits: Column) -> Column:
     """The digits, and what is left when one or two of their 1s, which may be misread separators, are dropped."""
 
     def dropped(d: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), lambda i: F.when(F.substring(d, i, F.lit(1)) == "1", F.concat(F.substring(d, F.lit(1), i - 1), F.substring(d, i + 1, F.length(d)))).otherwise(d))
+        ones = F.filter(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), lambda i: F.substring(d, i, F.lit(1)) == "1")
+        return F.concat(F.array(d), F.transform(ones, lambda i: F.concat(F.substring(d, F.lit(1), i - 1), F.substring(d, i + 1, F.length(d)))))
 
     return F.array_remove(F.array_distinct(F.flatten(F.transform(dropped(digits), dropped))), "")
 
