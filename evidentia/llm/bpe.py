@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_of, worker_cache
+from evidentia.llm.common import lean_worker, text_of, worker_cache
 
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 400_000
@@ -131,6 +131,7 @@ def digest(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """doc_id, n_tokens, and hashes of the decimal ids and of the decoded text."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("bpe")
         codec, known = _codec(path)
         for f in frames:
             n, ids, decoded = [], [], []

@@ -82,10 +82,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _worker() -> dict:
+    """What lives as long as the Python worker, whatever task it serves."""
+    return sys.modules.setdefault("_evidentia_worker", types.ModuleType("_evidentia_worker")).__dict__
+
+
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, whatever task it serves."""
-    module = sys.modules.setdefault("_evidentia_worker", types.ModuleType("_evidentia_worker"))
-    return module.__dict__.setdefault(name, {})
+    """A dict that lives as long as the Python worker, until a task of another operator calls lean_worker()."""
+    return _worker().setdefault("caches", {}).setdefault(name, {})
+
+
+def lean_worker(name: str) -> None:
+    """At a task's start: a worker that served another operator forgets the caches of that one, and gives memory that is free back to the system.
+
+    Executors keep their Python workers from stage to stage, and what these hold counts beside the heap."""
+    if _worker().get("serves") == name:
+        return
+    _worker()["serves"] = name
+    for other, cache in _worker().get("caches", {}).items():
+        if other != name:
+            cache.clear()
+    gc.collect()
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
 
 
 def spread(spark: SparkSession) -> int:

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import discard, free_name, release, spread, text_of, written
+from evidentia.llm.common import discard, free_name, lean_worker, release, spread, text_of, written
 from evidentia.llm.components import connected_components, with_label
 
 WORDS, GROUPS, PART = 5, 256, 512
@@ -150,6 +150,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that recur among the different texts of any window, the most frequent of all documents, sorted; it only sets the order."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("jaccard_join")
         held: list[np.ndarray] = []
         total, seen = 0, set()
 
@@ -180,6 +181,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     common = common_shingles(docs)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("jaccard_join")
         seen: set[int] = set()
         for f in frames:
             rows = []
@@ -230,12 +232,14 @@ def blocks(sketched: DataFrame) -> DataFrame:
     """(h, fp, slot) of the signature keys that two classes or more share."""
 
     def emit(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("jaccard_join")
         for f in frames:
             hs = [np.frombuffer(x, np.int64) for x in f["sig"]]
             if hs:
                 yield pd.DataFrame({"h": np.concatenate(hs), "fp": np.repeat(f["fp"].to_numpy(), [len(h) for h in hs]), "slot": np.concatenate([np.frombuffer(x, np.int32) for x in f["whose"]])})
 
     def shared(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("jaccard_join")
         for f in _runs(frames, "h"):
             h, fp, slot = f["h"].to_numpy(), f["fp"].to_numpy(), f["slot"].to_numpy()
             new = np.ones(len(h), bool)
@@ -326,6 +330,7 @@ def stars(homes: DataFrame, points: DataFrame, labels: DataFrame | None, total:
     rows = _split(rows, "h", total).withColumn("h", F.xxhash64("h", F.pmod(F.xxhash64(F.lit(salt), "fp"), "_cells"))).drop("_cells")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("jaccard_join")
         for f in _runs(frames, "h"):
             h, fp, n, label = (f[c].to_numpy() for c in ("h", "fp", "n", "label"))
             points = unpacked(list(f["point"]))
@@ -376,6 +381,7 @@ def between_components(shared: DataFrame, points: DataFrame, homes: DataFrame, l
     rows = rows.join(points.join(homes, ["fp", "slot"]), ["fp", "slot"])
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("jaccard_join")
         for f in _runs(frames, "h"):
             h, key, fp, n, label = (f[c].to_numpy() for c in ("h", "key", "fp", "n", "label"))
             points, home = unpacked(list(f["point"])), np.stack(f["homes"].to_list())
@@ -419,6 +425,7 @@ def shingle_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     needed = written(needed, "needed")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("jaccard_join")
         for f in frames:
             fps, sets = [], []
             for fp, text in zip(f["fp"].tolist(), f["text"]):
@@ -437,6 +444,7 @@ def refined(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose fine points allow a similarity of 0.8."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("jaccard_join")
         for f in frames:
             ok = [9 * fine_bound(x, y) >= 4 * t for x, y, t in zip(f["x"], f["y"], f["t"].tolist())]
             yield f.loc[np.array(ok, bool), ["a", "b"]]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import fresh_path, spread, text_of, worker_cache, written
+from evidentia.llm.common import fresh_path, lean_worker, spread, text_of, worker_cache, written
 from evidentia.llm.files import read_whole, write_whole
 
 MAGIC = b"EVTOK1\0\0"
@@ -165,6 +165,7 @@ def encode_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Blocks of encoded documents in ascending doc_id order; before: tokens of the part before the block."""
 
     def encode(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker("token_binary")
         coder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         part, block, before = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
