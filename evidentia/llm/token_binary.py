@@ -17,7 +17,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,15 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.bpe import byte_characters
 from evidentia.llm.common import fresh_path, lean_worker, spread, text_of, worker_cache, written
 from evidentia.llm.files import read_whole, write_whole
 
 MAGIC = b"EVTOK1\0\0"
 BLOCK_TOKENS = 1 << 21
-#: Chunks that a worker remembers before it starts anew; those of the time before stay at hand.
-CACHE_CHUNKS = 600_000
-#: Texts whose new chunks are encoded together, and how many chunks at a time.
-BATCH_TEXTS, STRUNG = 256, 4096
+#: Chunks and pre-tokens that a worker remembers before it starts anew; those of the time before stay at hand.
+CACHE_CHUNKS, CACHE_PIECES = 150_000, 250_000
+#: Characters of the texts whose chunks are looked up together.
+BATCH_CHARS = 1 << 21
 #: Lengths of the four tokens of each control byte, and how many bytes they take.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -42,74 +42,133 @@ class ChunkEncoder:
     """ids of whole texts by a byte-level BPE file of the tokenizers library.
 
     The library's pre-tokens begin anew at every space before a character that isn't white space, and a byte-level BPE
-    never merges over their borders.  So a text is cut at its spaces, and the library encodes each distinct chunk once,
-    many of them strung together: the tokens that begin with a space say where the chunks do.  The library takes whole
-    the texts with a space before white space or at the end, with characters that may not be what they seem to the
-    pattern of ``odd``, or with a special token's string."""
+    never merges over their borders.  So texts are cut at their spaces, many texts at a time, and each distinct chunk is
+    looked up once; a new one is cut into its pre-tokens, and the library's model encodes those that are new.
+    The library takes whole the texts with a space before white space or at the end, with characters that may not be what
+    they seem to the patterns, or with a special token's string."""
 
     #: Latin, Greek and Cyrillic letters, marks, general punctuation and currency, without U+001C..1F and U+0085.
-    plain = "[^\x00-\x1b\x20-\x84\x86-ȳ̀-ͷЀ-ҁ‐-‧‰-⁞₠-₰]"
+    plain = "[\x00-\x1b\x20-\x84\x86-ȳ̀-ͷЀ-ҁ‐-‧‰-⁞₠-₰]"
+    #: The library's pre-tokens; its white space is Unicode's White_Space, which lacks U+001C..1F.
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.odd = re.compile("|".join([self.plain, r" (?!\S)", *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]))
-        vocabulary = self.library.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        # Ġ is the byte-level name of the space
-        self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        # a chunk is known by what follows its space
+        self.model = self.library.model
+        special = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        firsts = {t[0] for t in special}
+        inner = "".join(map(re.escape, sorted(set(re.findall(self.plain, "".join(map(chr, range(0x2100))))) - firsts - {" "})))
+        rest = [r" (?=\S)", *(f"(?={self.plain}){re.escape(c)}" for c in sorted(firsts - {" "}))]
+        none = f"(?!{'|'.join(map(re.escape, special))})" if special else ""
+        self.even = re.compile(f"(?:[{inner}]++|{none}(?:{'|'.join(rest)}))*+")
+        self.cut = regex.compile(self.pattern)
+        self.bytes = dict(enumerate(byte_characters()))
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _strung(self, chunks: list[str]) -> list[bytes]:
-        raw = self._whole(["".join([" " + c for c in chunks])])[0]
-        at = (4 * np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])).tolist()
-        if len(at) != len(chunks):
-            return self._whole([" " + c for c in chunks])
-        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)])]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """ids of pre-tokens."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.old_pieces, self.pieces = self.pieces, {}
+        got = list(map(self.pieces.get, pieces))
+        missing = [k for k, v in enumerate(got) if v is None]
+        new = []
+        for p in {pieces[k] for k in missing}:
+            if p in self.old_pieces:
+                self.pieces[p] = self.old_pieces[p]
+            else:
+                new.append(p)
+        # no text has the byte 255
+        named = b"\xff".join([p.encode() for p in new]).decode("latin-1").translate(self.bytes).split(self.bytes[255])
+        for p, name in zip(new, named):
+            ids = [t.id for t in self.model.tokenize(name)]
+            self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        for k in missing:
+            got[k] = self.pieces[pieces[k]]
+        return got
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """ids of distinct chunks, each known by what follows its space."""
         if len(self.known) > CACHE_CHUNKS:
             self.old, self.known = self.known, {}
         got = list(map(self.known.get, chunks))
-        missing = [k for k, v in enumerate(got) if v is None]
         new = []
-        for c in {chunks[k] for k in missing}:
-            if c in self.old:
-                self.known[c] = self.old[c]
-            else:
-                new.append(c)
-        for lo in range(0, len(new), STRUNG):
-            some = new[lo : lo + STRUNG]
-            self.known.update(zip(some, self._strung(some)))
-        for k in missing:
-            got[k] = self.known[chunks[k]]
+        for k, v in enumerate(got):
+            if v is None:
+                v = self.old.get(chunks[k])
+                if v is None:
+                    new.append(k)
+                else:
+                    got[k] = self.known[chunks[k]] = v
+        # strung together, their spaces say which pre-tokens begin a chunk
+        pieces = self.cut.findall("".join([" " + chunks[k] for k in new]))
+        ids = self._pieces(pieces)
+        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
+        for k, i, j in zip(new, starts, [*starts[1:], len(pieces)]):
+            got[k] = self.known[chunks[k]] = ids[i] if j == i + 1 else b"".join(ids[i:j])
         return got
 
+    def _even(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=" ")
+        starts = cut.offsets.to_numpy()
+        chunks = cut.values.dictionary_encode()
+        # the first of a text has no space before it
+        index = chunks.indices.to_numpy().copy()
+        heads = chunks.dictionary.take(chunks.indices.take(pa.array(starts[:-1]))).to_pylist()
+        index[starts[:-1]] = len(chunks.dictionary) + np.arange(len(texts))
+        used = np.unique(index)
+        words = used[used < len(chunks.dictionary)]
+        ids = self._chunks(chunks.dictionary.take(pa.array(words)).to_numpy(zero_copy_only=False).tolist())
+        ids += [b"".join(self._pieces(self.cut.findall(h))) for h in heads]
+        place = np.zeros(len(chunks.dictionary) + len(texts), np.int64)
+        place[used] = np.arange(len(used))
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.cumsum(size) - size
+        at = place[index]
+        n = size[at]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        raw = flat[np.repeat(first[at] - ends + n, n) + np.arange(int(n.sum()))].tobytes()
+        borders = (4 * np.concatenate([[0], ends])[starts]).tolist()
+        return [raw[i:j] for i, j in zip(borders, borders[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        odd = [self.odd.search(t) is not None for t in texts]
-        whole = [k for k, o in enumerate(odd) if o]
-        for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
-            out[k] = ids
-        even = [k for k, o in enumerate(odd) if not o]
-        cut = [texts[k].split(" ") for k in even]
-        heads = self._whole([c.pop(0) for c in cut])
-        ids, at = self._chunks(list(chain.from_iterable(cut))), 0
-        for k, head, chunks in zip(even, heads, cut):
-            out[k] = head + b"".join(ids[at : at + len(chunks)])
-            at += len(chunks)
+        even = [self.even.fullmatch(t) is not None for t in texts]
+        for some, how in (([k for k, e in enumerate(even) if not e], self._whole), ([k for k, e in enumerate(even) if e], self._even)):
+            if some:
+                for k, ids in zip(some, how([texts[k] for k in some])):
+                    out[k] = ids
         return out
 
 
+def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are encoded together: BATCH_CHARS, or one longer text."""
+    lo = held = 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > BATCH_CHARS:
+            yield lo, k
+            lo = k
+            held = 0
+        held += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def _encoder(path: str) -> ChunkEncoder:
     import os
 
@@ -184,9 +243,9 @@ def encode_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         small = max(coder.library.get_vocab_size(), end_id + 1) <= 1 << 16
         held = 0
         for f in frames:
-            for lo in range(0, len(f), BATCH_TEXTS):
-                some = f.iloc[lo : lo + BATCH_TEXTS]
-                for doc_id, got in zip(some["doc_id"].tolist(), coder.encode(some["text"].tolist())):
+            names, texts = f["doc_id"].tolist(), f["text"].tolist()
+            for lo, hi in _batches(texts):
+                for doc_id, got in zip(names[lo:hi], coder.encode(texts[lo:hi])):
                     ids.append(got + end)
                     whose.append(doc_id)
                     held += len(ids[-1]) // 4

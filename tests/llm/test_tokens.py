@@ -55,6 +55,22 @@ def test_byte_encoder_any(text):
     assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == byte.encode(text, add_special_tokens=False).ids
 
 
+def test_byte_encoder_meets_each_pretoken_once():
+    coder, lib, seen = token_binary.ChunkEncoder(BYTE), Tokenizer.from_file(BYTE), []
+
+    class Counted:
+        def tokenize(self, piece, model=coder.model):
+            seen.append(piece)
+            return model.tokenize(piece)
+
+    coder.model = Counted()
+    texts = ["Zorble zorble, zorble.\nQuix zorble;\n\n zorble's <b> 12 zorble12", "Zorble quix, quix. zorble", "", "a|b < c <|x", "<|endoftext|> zorble"]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)]
+        assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert len(seen) == len(set(seen)) and "Ġzorble" in seen and "Ġzorble," not in seen
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=50))
 def test_pack(ranks):
