@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,9 @@ from evidentia.llm.files import read_whole, write_whole
 
 MAGIC = b"EVTOK1\0\0"
 BLOCK_TOKENS = 1 << 21
-#: Chunks and pre-tokens that a worker remembers before it starts anew; those of the time before stay at hand.
-CACHE_CHUNKS, CACHE_PIECES = 150_000, 250_000
-#: Characters of the texts whose chunks are looked up together.
+#: Pre-tokens that a worker remembers before it forgets half of them.
+CACHE_PIECES = 400_000
+#: Characters of the texts whose pre-tokens are looked up together.
 BATCH_CHARS = 1 << 21
 #: Lengths of the four tokens of each control byte, and how many bytes they take.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -41,16 +42,16 @@ LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(25
 class ChunkEncoder:
     """ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    The library's pre-tokens begin anew at every space before a character that isn't white space, and a byte-level BPE
-    never merges over their borders.  So texts are cut at their spaces, many texts at a time, and each distinct chunk is
-    looked up once; a new one is cut into its pre-tokens, and the library's model encodes those that are new.
+    A byte-level BPE never merges over pre-tokens' borders.  These follow from the kinds of neighbouring characters, so they
+    are found for many texts at a time, each distinct pre-token is looked up once, and the library's model encodes the new.
     The library takes whole the texts with a space before white space or at the end, with characters that may not be what
     they seem to the patterns, or with a special token's string."""
 
     #: Latin, Greek and Cyrillic letters, marks, general punctuation and currency, without U+001C..1F and U+0085.
     plain = "[\x00-\x1b\x20-\x84\x86-ȳ̀-ͷЀ-ҁ‐-‧‰-⁞₠-₰]"
-    #: The library's pre-tokens; its white space is Unicode's White_Space, which lacks U+001C..1F.
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+    #: Kinds of characters.  The library's white space is Unicode's White_Space, which lacks U+001C..1F.
+    BORDER, SPACE, WHITE, LETTER, NUMBER, OTHER, ODD = range(7)
+    patterns = {OTHER: ".", LETTER: r"\p{L}", NUMBER: r"\p{N}", WHITE: r"\p{White_Space}", SPACE: " "}
 
     def __init__(self, path: str):
         import regex
@@ -60,102 +61,155 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        special = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
-        firsts = {t[0] for t in special}
-        inner = "".join(map(re.escape, sorted(set(re.findall(self.plain, "".join(map(chr, range(0x2100))))) - firsts - {" "})))
-        rest = [r" (?=\S)", *(f"(?={self.plain}){re.escape(c)}" for c in sorted(firsts - {" "}))]
-        none = f"(?!{'|'.join(map(re.escape, special))})" if special else ""
-        self.even = re.compile(f"(?:[{inner}]++|{none}(?:{'|'.join(rest)}))*+")
-        self.cut = regex.compile(self.pattern)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.bytes = dict(enumerate(byte_characters()))
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        # the last stands for all characters beyond
+        self.kinds = np.full(0x2101, self.ODD, np.uint8)
+        characters = "".join(re.findall(self.plain, "".join(map(chr, range(0x2100)))))
+        for kind, pattern in self.patterns.items():
+            self.kinds[list(map(ord, regex.findall(pattern, characters, regex.DOTALL)))] = kind
+        # of each known pre-token: its place in the tables of where its ids begin, how many they are, and which batch had it last
+        self.places: dict[str, int] = {}
+        self.first, self.size, self.seen, self.batch = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.ids = np.zeros(0, "<u4")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """ids of pre-tokens."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.old_pieces, self.pieces = self.pieces, {}
-        got = list(map(self.pieces.get, pieces))
-        missing = [k for k, v in enumerate(got) if v is None]
-        new = []
-        for p in {pieces[k] for k in missing}:
-            if p in self.old_pieces:
-                self.pieces[p] = self.old_pieces[p]
-            else:
-                new.append(p)
-        # no text has the byte 255
-        named = b"\xff".join([p.encode() for p in new]).decode("latin-1").translate(self.bytes).split(self.bytes[255])
-        for p, name in zip(new, named):
-            ids = [t.id for t in self.model.tokenize(name)]
-            self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
-        for k in missing:
-            got[k] = self.pieces[pieces[k]]
-        return got
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """ids of distinct chunks, each known by what follows its space."""
-        if len(self.known) > CACHE_CHUNKS:
-            self.old, self.known = self.known, {}
-        got = list(map(self.known.get, chunks))
-        new = []
-        for k, v in enumerate(got):
-            if v is None:
-                v = self.old.get(chunks[k])
-                if v is None:
-                    new.append(k)
-                else:
-                    got[k] = self.known[chunks[k]] = v
-        # strung together, their spaces say which pre-tokens begin a chunk
-        pieces = self.cut.findall("".join([" " + chunks[k] for k in new]))
-        ids = self._pieces(pieces)
-        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
-        for k, i, j in zip(new, starts, [*starts[1:], len(pieces)]):
-            got[k] = self.known[chunks[k]] = ids[i] if j == i + 1 else b"".join(ids[i:j])
-        return got
-
-    def _even(self, texts: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        """Keep the half of the pre-tokens that were met last."""
+        keep = np.sort(np.argpartition(-self.seen, CACHE_PIECES // 2)[: CACHE_PIECES // 2])
+        names = list(self.places)
+        self.places = {names[k]: place for place, k in enumerate(keep.tolist())}
+        self.ids = self.ids[_ranges(self.first[keep], self.size[keep])]
+        self.size, self.seen = self.size[keep], self.seen[keep]
+        self.first = np.cumsum(self.size) - self.size
+
+    def _pieces(self, pieces: list[str]) -> np.ndarray:
+        """Places of distinct pre-tokens."""
+        if len(self.places) > CACHE_PIECES:
+            self._forget()
+        at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [pieces[k] for k in missing.tolist()]
+            # U+001C is not among the plain characters
+            named = "\x1c".join(new).encode().decode("latin-1").translate(self.bytes).split(self.bytes[0x1C])
+            tokenize = self.model.tokenize
+            got = [[t.id for t in tokenize(name)] for name in named]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            at[missing] = np.arange(len(self.size), len(self.size) + len(new))
+            self.places.update(zip(new, at[missing].tolist()))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), "<u4", int(size.sum()))])
+        self.batch += 1
+        self.seen[at] = self.batch
+        return at
+
+    def _kinds(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts, a line feed after each; its characters' codes and kinds; where the texts end."""
+        joined = "\n".join([*texts, ""])
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kinds = np.take(self.kinds, codes, mode="clip")
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        kinds[ends] = self.BORDER
+        return joined, codes, kinds, ends
+
+    def _odd(self, kinds: np.ndarray, ends: np.ndarray) -> list[int]:
+        """Texts with odd characters, or with a space before white space or at the end."""
+        at = np.flatnonzero((kinds == self.ODD) | (kinds == self.SPACE) & (np.append(kinds[1:], self.BORDER) <= self.WHITE))
+        return np.unique(np.searchsorted(ends, at)).tolist()
+
+    def _begins(self, codes: np.ndarray, kinds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        r"""Where pre-tokens and borders begin, by the library's pattern
+        's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+, all spaces being before what isn't white."""
+        begins = np.ones(len(kinds), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+        begins[1:] &= kinds[:-1] != self.SPACE
+        # of white characters before others the last is apart
+        begins[:-1] |= (kinds[:-1] == self.WHITE) & (kinds[1:] > self.WHITE)
+        begins[ends] = True
+        quotes = np.flatnonzero(codes == ord("'"))
+        quotes = quotes[begins[quotes] & (kinds[quotes] == self.OTHER)]
+        one, two = codes[quotes + 1], codes[np.minimum(quotes + 2, len(codes) - 1)]
+        for size, is_ in ((2, np.isin(one, list(map(ord, "stmd")))), (3, np.isin(one, list(map(ord, "rv"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))):
+            begins[quotes[is_] + 1] = False
+            begins[quotes[is_] + size] = True
+        return np.flatnonzero(begins)
+
+    def _cut(self, texts: list[str]):  # -> pa.DictionaryArray, np.ndarray, list[int]
+        """Pre-tokens of the texts, a border after each text; where the borders are; the odd texts, which have no pre-tokens."""
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=" ")
-        starts = cut.offsets.to_numpy()
-        chunks = cut.values.dictionary_encode()
-        # the first of a text has no space before it
-        index = chunks.indices.to_numpy().copy()
-        heads = chunks.dictionary.take(chunks.indices.take(pa.array(starts[:-1]))).to_pylist()
-        index[starts[:-1]] = len(chunks.dictionary) + np.arange(len(texts))
-        used = np.unique(index)
-        words = used[used < len(chunks.dictionary)]
-        ids = self._chunks(chunks.dictionary.take(pa.array(words)).to_numpy(zero_copy_only=False).tolist())
-        ids += [b"".join(self._pieces(self.cut.findall(h))) for h in heads]
-        place = np.zeros(len(chunks.dictionary) + len(texts), np.int64)
-        place[used] = np.arange(len(used))
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        first = np.cumsum(size) - size
-        at = place[index]
-        n = size[at]
-        ends = np.cumsum(n)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        raw = flat[np.repeat(first[at] - ends + n, n) + np.arange(int(n.sum()))].tobytes()
-        borders = (4 * np.concatenate([[0], ends])[starts]).tolist()
-        return [raw[i:j] for i, j in zip(borders, borders[1:])]
+
+        joined, codes, kinds, ends = self._kinds(texts)
+        odd = self._odd(kinds, ends)
+        if odd:
+            even = list(texts)
+            for k in odd:
+                even[k] = ""
+            joined, codes, kinds, ends = self._kinds(even)
+        begins = self._begins(codes, kinds, ends)
+        borders = np.searchsorted(begins, ends)
+        raw = joined.encode()
+        offsets = np.append(begins, len(codes)).astype(np.int64)
+        if len(raw) > len(codes):
+            # plain characters take three bytes at most
+            more = np.cumsum((codes > 0x7F).view(np.uint8) + (codes > 0x7FF).view(np.uint8), dtype=np.int64)
+            offsets[1:] += more[offsets[1:] - 1]
+        return pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode(), borders, odd
+
+    def _some(self, texts: list[str]) -> list[bytes | None]:
+        """ids of each text, None for the odd."""
+        pieces, borders, odd = self._cut(texts)
+        at = self._pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
+        size = self.size[at]
+        size[borders] = 0
+        ids = self.ids[_ranges(self.first[at], size)].tobytes()
+        cuts = [0, *(4 * np.cumsum(size)[borders]).tolist()]
+        out: list[bytes | None] = [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+        for k in odd:
+            out[k] = None
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        even = [self.even.fullmatch(t) is not None for t in texts]
-        for some, how in (([k for k, e in enumerate(even) if not e], self._whole), ([k for k, e in enumerate(even) if e], self._even)):
-            if some:
-                for k, ids in zip(some, how([texts[k] for k in some])):
-                    out[k] = ids
+        whole = [any(s in t for s in self.special) for t in texts]
+        parts, whose = [], []
+        for k, t in enumerate(texts):
+            for part in () if whole[k] else _parts(t):
+                parts.append(part)
+                whose.append(k)
+        got: list[list[bytes]] = [[] for _ in texts]
+        for lo, hi in _batches(parts):
+            for k, ids in zip(whose[lo:hi], self._some(parts[lo:hi])):
+                if ids is None:
+                    whole[k] = True
+                else:
+                    got[k].append(ids)
+        out = [x[0] if len(x) == 1 else b"".join(x) for x in got]
+        odd = [k for k, w in enumerate(whole) if w]
+        for k, ids in zip(odd, self._whole([texts[k] for k in odd])):
+            out[k] = ids
         return out
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text, or a very long one's parts: pre-tokens begin anew at spaces."""
+    lo = 0
+    while len(text) - lo > BATCH_CHARS and (hi := text.find(" ", lo + BATCH_CHARS)) > 0:
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:] if lo else text
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts that are encoded together: BATCH_CHARS, or one longer text."""
     lo = held = 0

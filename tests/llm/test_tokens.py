@@ -1,6 +1,7 @@
 """Token files and BPE against the tokenizers library."""
 
 import hashlib
+import sys
 import zlib
 
 import numpy as np
@@ -71,6 +72,45 @@ def test_byte_encoder_meets_each_pretoken_once():
     assert len(seen) == len(set(seen)) and "Ġzorble" in seen and "Ġzorble," not in seen
 
 
+def test_byte_encoder_takes_no_step_for_each_chunk():
+    coder, lib, steps = token_binary.ChunkEncoder(BYTE), Tokenizer.from_file(BYTE), 0
+
+    def text(words):
+        return " ".join(f"{a}.{b};{c}" for a in words for b in words for c in words)
+
+    def step(frame, event, arg):
+        nonlocal steps
+        steps += event.endswith("call")
+
+    # 27,000 distinct chunks, of which a few pre-tokens make all
+    words = [f"zorb{chr(97 + k)}" for k in range(26)] + ["élan", "x's", "ll", "12"]
+    coder.encode([text(words[:2]), *(f"{w}.{w} {w};{w}" for w in words)])
+    texts = [text(words), "", "zorba"]
+    sys.setprofile(step)
+    try:
+        got = coder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert steps < 1000
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x500, exclude_categories=["Cs"]), st.sampled_from("stmdrevl ''\n\t\xa0.1’")), max_size=30), max_size=8))
+def test_byte_encoder_forgets(texts):
+    global forgetful, byte
+    if "forgetful" not in globals():
+        forgetful, byte = token_binary.ChunkEncoder(BYTE), Tokenizer.from_file(BYTE)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_binary, "CACHE_PIECES", 6)
+        patch.setattr(token_binary, "BATCH_CHARS", 7)
+        got = [np.frombuffer(x, "<u4").tolist() for x in forgetful.encode(texts)]
+        assert got == [e.ids for e in byte.encode_batch(texts, add_special_tokens=False)]
+        forgetful.encode([""])
+        forgetful.encode([""])
+        assert len(forgetful.places) == len(forgetful.size) <= 6
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=50))
 def test_pack(ranks):
